@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm import decontaminate, dedup_lines, simhash
+from vellumine.llm import decontaminate, dedup_lines, merkle, secrets, simhash
 from vellumine.llm.common import read
 
 
@@ -17,10 +17,18 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.scan(read(spark, sf_dir, "documents")))
+
+
+def op8_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edits(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = {"op3_line_dedup": op3_line_dedup, "op6_decontaminate": op6_decontaminate, "op9_simhash": op9_simhash}
-ORACLE = {"op3_line_dedup": dedup_lines.SQL, "op6_decontaminate": decontaminate.SQL}
+QUERIES = {"op3_line_dedup": op3_line_dedup, "op6_decontaminate": op6_decontaminate, "op7_secrets": op7_secrets, "op8_merkle": op8_merkle, "op9_simhash": op9_simhash}
+ORACLE = {"op3_line_dedup": dedup_lines.SQL, "op6_decontaminate": decontaminate.SQL, "op8_merkle": merkle.SQL}
