@@ -5,8 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm import decontaminate, dedup_lines, merkle, secrets, simhash
-from vellumine.llm.common import read
+from vellumine.llm import decontaminate, dedup_lines, language, merkle, quality, secrets, simhash
+from vellumine.llm.common import crc_mod, read
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_mod(F.col("doc_id"), 3) == 1
+    scored = quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), "quality", ~held_out).withColumnRenamed("id", "doc_id")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_mod(F.col("doc_id"), 5) == 0
+    found = language.identify(read(spark, sf_dir, "documents"), ~held_out).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,5 +42,5 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = {"op3_line_dedup": op3_line_dedup, "op6_decontaminate": op6_decontaminate, "op7_secrets": op7_secrets, "op8_merkle": op8_merkle, "op9_simhash": op9_simhash}
+QUERIES = {"op1_quality": op1_quality, "op2_language": op2_language, "op3_line_dedup": op3_line_dedup, "op6_decontaminate": op6_decontaminate, "op7_secrets": op7_secrets, "op8_merkle": op8_merkle, "op9_simhash": op9_simhash}
 ORACLE = {"op3_line_dedup": dedup_lines.SQL, "op6_decontaminate": decontaminate.SQL, "op8_merkle": merkle.SQL}
