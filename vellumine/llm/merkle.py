@@ -82,11 +82,12 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     ids = table(ids, "lengths")
     repeats = ids.where("rows > 1").limit(1).count() > 0
     before = _previous(ids.select("id", "n"))
-    known = d.where("id is not null").join(before, "id")
+    named = d.where("id is not null")  # read on both sides below in one form, so that texts are dealt out by id but once
+    known = named.join(before, "id")
     if repeats:  # an id's least text stands for it
         known = known.groupBy("id", "prev_id", "prev_n").agg(F.min("text").alias("text"))
     heads = known.select(F.col("prev_id").alias("id"), F.left("text", F.floor(F.col("prev_n") / 2).cast("int")).alias("head"), leaves(F.col("text")).alias("next_leaf"))
-    out = d.join(heads, "id", "left").withColumn("n", F.length("text"))
+    out = named.join(heads, "id", "left").unionByName(d.where("id is null"), allowMissingColumns=True).withColumn("n", F.length("text"))
     half = F.floor(F.col("n") / 2).cast("int")
     out = out.withColumn("edited", F.concat(F.left("text", F.col("n") - half), F.left(F.coalesce("head", F.lit("")), half)))
     out = out.select("id", "n", F.sha2("edited", 256).alias("edited_sha256"), leaves(F.col("text")).alias("leaf"), leaves(F.col("edited")).alias("edited_leaf"), F.coalesce("next_leaf", F.array().cast("array<string>")).alias("next_leaf"))
