@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellumine.llm.common import item, small, words
+from vellumine.llm.common import item, small, table, words
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -48,6 +48,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     seen = d.select("doc_id", F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("w")).where("size(w) > 0")
     # the hashes are one array a row before they are exploded, so that no word is copied with them
     pairs = seen.select("doc_id", F.explode(_shingles(F.col("w"), F.xxhash64)).alias("h")).join(small(signature), "h").select("doc_id", "item_id").distinct()
+    pairs = table(pairs, "pairs")  # read three times below
 
     picked = d.join(small(pairs.select("doc_id").distinct()), "doc_id", "left_semi")
     held = picked.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(_shingles(F.col("w"), _joined)).alias("gram")).join(small(grams), "gram").distinct()
