@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm import decontaminate, dedup_lines, language, merkle, quality, secrets, simhash, toxicity
+from vellumine.llm import decontaminate, dedup_lines, language, merkle, pieces, quality, secrets, simhash, toxicity
 from vellumine.llm.common import crc_mod, read
 
 
@@ -31,6 +31,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(read(spark, sf_dir, "documents")).select(F.col("key").cast("long").alias("doc_id"), "samples", "exact")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -48,5 +52,5 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_language": op2_language, "op3_line_dedup": op3_line_dedup, "op4_toxicity": op4_toxicity, "op6_decontaminate": op6_decontaminate, "op7_secrets": op7_secrets, "op8_merkle": op8_merkle, "op9_simhash": op9_simhash}
+QUERIES = {"op1_quality": op1_quality, "op2_language": op2_language, "op3_line_dedup": op3_line_dedup, "op4_toxicity": op4_toxicity, "op5_pieces": op5_pieces, "op6_decontaminate": op6_decontaminate, "op7_secrets": op7_secrets, "op8_merkle": op8_merkle, "op9_simhash": op9_simhash}
 ORACLE = {"op3_line_dedup": dedup_lines.SQL, "op6_decontaminate": decontaminate.SQL, "op8_merkle": merkle.SQL}
