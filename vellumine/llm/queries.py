@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm import decontaminate, dedup_lines, language, merkle, pieces, quality, secrets, simhash, toxicity
+from vellumine.llm import decontaminate, dedup_lines, language, merkle, pieces, quality, secrets, simhash, substrings, toxicity
 from vellumine.llm.common import crc_mod, read
 
 
@@ -52,5 +52,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_language": op2_language, "op3_line_dedup": op3_line_dedup, "op4_toxicity": op4_toxicity, "op5_pieces": op5_pieces, "op6_decontaminate": op6_decontaminate, "op7_secrets": op7_secrets, "op8_merkle": op8_merkle, "op9_simhash": op9_simhash}
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(substrings.dedup(read(spark, sf_dir, "documents")))
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_language": op2_language, "op3_line_dedup": op3_line_dedup, "op4_toxicity": op4_toxicity, "op5_pieces": op5_pieces, "op6_decontaminate": op6_decontaminate, "op7_secrets": op7_secrets, "op8_merkle": op8_merkle, "op9_simhash": op9_simhash, "op10_substrings": op10_substrings}
 ORACLE = {"op3_line_dedup": dedup_lines.SQL, "op6_decontaminate": decontaminate.SQL, "op8_merkle": merkle.SQL}
