@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -183,42 +184,47 @@ def induce(docs: DataFrame) -> tuple[dict[str, float], int]:
     return dict(zip(words, np.tanh(lift / 2).tolist())), int(bad.sum())
 
 
-def classify(docs: DataFrame, labels: DataFrame, label_col: str, keep: Column, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> DataFrame:
-    """(id, score): the probability that a document is toxic, for each row of docs.
+def scorer(docs: DataFrame, labels: DataFrame, label_col: str, keep: Column, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS):
+    """A function from a text column to the probability that a text is toxic.
 
     All documents give the word graph; labels for which `keep` (a condition on the labels' columns) holds give seeds and, on
     about `rows` documents of each label drawn by a hash of the id, the weights of the lexicon's figures of a text. With no
     label, one kind of label or no seed, each score is the share of toxic labels (0 without any) and the graph isn't built.
-    Null and empty texts score as texts without a word of the lexicon. Rows that repeat an id or have a null id are scored
-    like any other; labels of null ids or other than 0 and 1 are left out. No rows give no rows.
+    Null and empty texts score as texts without a word of the lexicon. Labels of null ids or other than 0 and 1 are left out;
+    rows that repeat an id or have a null id count like any other.
     """
     known = labels_of(labels, id_col, label_col, keep)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     marked = own.join(small(known), F.col("id") == F.col("__id"), "left").select("id", "t", F.col("__label").alias("label"))
     polarity, _ = induce(marked)
-    prior = known.agg(F.avg("__label")).first()[0] or 0.0
-    lexicon = None
-    if polarity:
-        picked = F.broadcast(thin(known, "__id", rows, F.col("__label")))  # twice `rows` and a few
-
-        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                f = [figures(polarity, t.as_py()) for t in b.column(1)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(f, pa.list_(pa.float64()))], ["id", "y", "f"])
-
-        got = own.join(picked, F.col("id") == F.col("__id")).select("id", "t", F.col("__label").alias("y")).mapInArrow(measure, "id long, y int, f array<double>").collect()
-        got.sort(key=lambda r: (r.id, r.f))
-        x, y = np.array([r.f for r in got]), np.array([r.y for r in got], float)
-        if len(set(y.tolist())) == 2:
-            centre, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
-            lexicon = Lexicon(polarity, _logistic((x - centre) / scale, y), centre, scale)
-    if lexicon is None:
-        return own.select("id", F.lit(float(prior)).alias("score"))
+    prior = float(known.agg(F.avg("__label")).first()[0] or 0.0)
+    if not polarity:
+        return lambda text: F.lit(prior)
+    picked = F.broadcast(thin(known, "__id", rows, F.col("__label")))  # twice `rows` and a few
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([figures(lexicon.polarity, t.as_py()) for t in b.column(1)]).reshape(-1, len(lexicon.centre))
-            z = lexicon.weights[0] + (x - lexicon.centre) / lexicon.scale @ lexicon.weights[1:]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], ["id", "score"])
+            f = [figures(polarity, t.as_py()) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(f, pa.list_(pa.float64()))], ["id", "y", "f"])
+
+    got = own.join(picked, F.col("id") == F.col("__id")).select("id", "t", F.col("__label").alias("y")).mapInArrow(measure, "id long, y int, f array<double>").collect()
+    got.sort(key=lambda r: (r.id, r.f))
+    x, y = np.array([r.f for r in got]), np.array([r.y for r in got], float)
+    if len(set(y.tolist())) < 2:
+        return lambda text: F.lit(prior)
+    centre, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
+    lexicon = Lexicon(polarity, _logistic((x - centre) / scale, y), centre, scale)
+
+    @F.pandas_udf("double")
+    def probability(text: pd.Series) -> pd.Series:
+        f = np.array([figures(lexicon.polarity, t) for t in text]).reshape(-1, len(lexicon.centre))
+        z = lexicon.weights[0] + (f - lexicon.centre) / lexicon.scale @ lexicon.weights[1:]
+        return pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
-    return own.mapInArrow(run, "id long, score double")
+    return lambda text: probability(text.cast("string"))
+
+
+def classify(docs: DataFrame, labels: DataFrame, label_col: str, keep: Column, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> DataFrame:
+    """(id, score): scorer()'s probability for each row of docs. No rows give no rows; other columns play no part."""
+    score = scorer(docs, labels, label_col, keep, id_col, text_col, rows)
+    return docs.select(F.col(id_col).cast("long").alias("id"), score(F.col(text_col)).alias("score"))
