@@ -1,11 +1,540 @@
-"""Queries over the tables, and the SQL each is held against."""
+"""Queries over the tables, one for each operator or a few together, and the DuckDB SQL each is held against.
+
+The tables carry no versions or trees, so both are derived by expressions that SQL can repeat: chunks are the documents' lines,
+a document's place is `document > source > source[id]`, and a second version rewrites, drops and adds documents by id.
+Questions of the search queries are the benchmark's items, all of them.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vellumine.functions.text import clip_text, collapse_ws, content_hash, first_filled, parent_path, path_norm, scale01, strip_ws, terms, tokens_ws, uuid5
+from vellumine.operators import chunk as ch
+from vellumine.operators import diff, expand, filters, fusion, generate, metrics, reliability, rerank, search
+from vellumine.plans import planner
+from vellumine.sources.files import clean_id
+from vellumine.sources.sinks import last_of, question_key
+from vellumine.streaming.ingest import sessions, windowed_counts
 
 FLAGSHIP = "hybrid_retrieve"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return put
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = F.concat(F.lit("document > "), "source", F.lit(" > "), "source", F.lit("["), F.col("doc_id").cast("string"), F.lit("]"))
+    return _t(spark, sf_dir, "documents").withColumn("hierarchy_path", place)
+
+
+_WS = r"[\s\p{Z}]+"
+_PLACE = "'document > ' || source || ' > ' || source || '[' || doc_id || ']'"
+
+# --- chunks, hashes, ids
+
+
+@query(r"""SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, paragraph FROM (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS paragraph, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE trim(paragraph, ' ' || chr(9) || chr(13)) <> ''""")
+def chunk_paragraphs(spark, sf_dir):
+    return ch.paragraphs(_t(spark, sf_dir, "documents"))
+
+
+@query("""SELECT hash, doc_id FROM (SELECT sha256(text) AS hash, doc_id, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id DESC) AS n FROM documents) WHERE n = 1""")
+def content_hash_upsert(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select(content_hash(F.col("text")).alias("hash"), "doc_id")
+    return last_of(d, "hash", "doc_id")
+
+
+@query("""SELECT doc_id, sha256(CASE WHEN doc_id % 3 = 0 THEN text ELSE text || chr(0) || 'v' || (doc_id % 3) END) AS chunk_hash FROM documents""")
+def chunk_hash_versions(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents")
+    version = F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("v"), (F.col("doc_id") % 3).cast("string")))
+    return d.select("doc_id", ch.chunk_hash(F.col("text"), version).alias("chunk_hash"))
+
+
+@query("""WITH h AS (SELECT doc_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(text)) AS h FROM documents)
+SELECT doc_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || lower(to_hex((CAST('0x' || h[17:17] AS INTEGER) & 3) | 8)) || h[18:20] || '-' || h[21:32] AS point_id FROM h""")
+def point_ids(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", uuid5(F.col("text")).alias("point_id"))
+
+
+@query(f"""SELECT doc_id, regexp_replace({_PLACE}, '\\[[0-9]+\\]$', '') AS parent_path FROM documents""")
+def parent_path_groups(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", parent_path(F.col("hierarchy_path")).alias("parent_path"))
+
+
+@query(r"""SELECT s_suppkey, CASE WHEN t = '' THEN 'source' ELSE t END AS source_id FROM (SELECT s_suppkey, regexp_replace(regexp_replace(lower(s_name), '[^a-z0-9_]', '_', 'g'), '^_+|_+$', '', 'g') AS t FROM supplier)""")
+def source_ids(spark, sf_dir):
+    return _t(spark, sf_dir, "supplier").select("s_suppkey", clean_id(F.col("s_name")).alias("source_id"))
+
+
+@query(rf"""SELECT conv_id, turn, array_to_string(list_filter(regexp_split_to_array(text, '{_WS}'), lambda x: x <> ''), ' ') AS collapsed,
+  CASE WHEN text IS NULL OR text = '' THEN coalesce(role, '') ELSE text END AS filled, sha256(array_to_string(list_filter(regexp_split_to_array(lower(text), '{_WS}'), lambda x: x <> ''), ' ') || '|10') AS question_key FROM conversations""")
+def text_normalisation(spark, sf_dir):
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", collapse_ws(F.col("text")).alias("collapsed"), first_filled(F.col("text"), F.col("role")).alias("filled"), question_key(F.col("text"), F.lit(10)).alias("question_key"))
+
+
+@query(rf"""SELECT page_id, CASE WHEN length(t) <= 160 THEN t ELSE rtrim(left(t, 160)) || '…' END AS clipped FROM (
+  SELECT page_id, array_to_string(list_filter(regexp_split_to_array(regexp_replace(html, '<[^>]+>', '', 'g'), '{_WS}'), lambda x: x <> ''), ' ') AS t FROM pages)""")
+def clip_pages(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", clip_text(F.col("html")).alias("clipped"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 100 THEN 1.0 WHEN l_quantity > 1 THEN l_quantity / 100 ELSE l_quantity END AS share FROM lineitem""")
+def scale_normaliser(spark, sf_dir):
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", scale01(F.col("l_quantity")).alias("share"))
+
+
+@query(r"""SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title, len(regexp_extract_all(html, '(?i)<h[1-6][ >]')) AS headings FROM pages""")
+def html_title_sections(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit(r"(?i)<h[1-6][ >]"), F.lit(0))).cast("long").alias("headings"))
+
+
+@query("""SELECT event_id, j.key AS key, j.value->>'$' AS value FROM events, json_each(props) j""")
+def json_props_walk(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("event_id", F.try_parse_json("props").alias("v"))
+    e.createOrReplaceTempView("vellumine_props")
+    return spark.sql("SELECT event_id, j.key AS key, CAST(j.value AS STRING) AS value FROM vellumine_props, LATERAL variant_explode(v) j")
+
+
+# --- search and fusion
+
+_TERMS = r"""
+WITH p AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM documents),
+post AS (SELECT doc_id, term, 1 + ln(count(*)) AS weight FROM p GROUP BY ALL),
+df AS (SELECT term, ln(1 + (SELECT count(*) FROM documents) / count(*)) AS idf FROM post GROUP BY term),
+q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM benchmark),
+sc AS (SELECT query_id, doc_id AS chunk_id, sum(weight * idf) AS score FROM q JOIN post USING (term) JOIN df USING (term) GROUP BY ALL),
+sparse AS (SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM sc QUALIFY rank <= 15)
+"""
+
+
+def _sparse(spark: SparkSession, sf_dir: str, k: int = 15) -> DataFrame:
+    d = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    index = search.postings(d, terms(F.lower("text")))
+    q = search.query_terms(_t(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id"), terms(F.lower("text"))).drop("weight")
+    # df of the questions' terms only: the index isn't shuffled for terms that nobody asks for
+    asked = index.join(F.broadcast(q.select("term").distinct()), "term")
+    weights = search.idf(asked, d.count())
+    hit = q.join(weights, "term").join(asked, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("weight") * F.col("idf")), 6).alias("score"))
+    return search.top_k(hit, k)
+
+
+def _dense(spark: SparkSession, sf_dir: str, k: int = 15, where=None) -> DataFrame:
+    e = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), "label")
+    q = e.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "vector")
+    near = search.dense(q, e, 2 * k, where).withColumn("score", F.round("score", 6))
+    return search.top_k(near.drop("rank"), k)
+
+
+_DENSE = """SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score,
+  row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) AS rank
+FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 {where} QUALIFY rank <= 15"""
+
+
+@query(_DENSE.format(where=""))
+def dense_topk_cosine(spark, sf_dir):
+    return _dense(spark, sf_dir)
+
+
+@query(_DENSE.format(where="AND b.label IN (1, 2, 3)"))
+def dense_topk_filtered(spark, sf_dir):
+    return _dense(spark, sf_dir, where=filters.build_filter({"must": [{"key": "label", "match": {"any": [1, 2, 3]}}]}))
+
+
+@query(_TERMS + "SELECT * FROM sparse")
+def sparse_topk(spark, sf_dir):
+    return _sparse(spark, sf_dir)
+
+
+_SECOND = """, second AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, chunk_id) AS rank FROM (
+  SELECT query_id, doc_id AS chunk_id, count(*) AS n FROM q JOIN post USING (term) GROUP BY ALL) QUALIFY rank <= 15),
+fused AS (SELECT query_id, chunk_id, round(sum(part), 9) AS score, min(l * 1000 + rank) AS seen FROM (
+  SELECT query_id, chunk_id, rank, 0 AS l, 0.6 / (60 + rank) AS part FROM second UNION ALL SELECT query_id, chunk_id, rank, 1, 0.4 / (60 + rank) FROM sparse) GROUP BY ALL)
+"""
+
+
+def _second(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second ranking of the same questions: by the number of shared terms."""
+    d = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.explode(F.array_distinct(terms(F.lower("text")))).alias("term"))
+    q = F.broadcast(search.query_terms(_t(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id"), terms(F.lower("text"))))
+    return search.top_k(d.join(q, "term").groupBy("query_id", "chunk_id").agg(F.count("*").alias("score")), 15)
+
+
+@query(_TERMS + _SECOND + "SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen) AS rank FROM fused")
+def rrf_fuse(spark, sf_dir):
+    fused = fusion.rrf([_second(spark, sf_dir), _sparse(spark, sf_dir)], [0.6, 0.4])
+    return fused.select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
+
+
+_RERANK = rf"""
+, cand AS (SELECT f.query_id, f.chunk_id, f.score, row_number() OVER (PARTITION BY f.query_id ORDER BY f.score DESC, f.seen) AS rank, count(*) OVER (PARTITION BY f.query_id) AS n, b.text AS question, d.text AS text, d.source AS source
+  FROM fused f JOIN benchmark b ON b.item_id = f.query_id JOIN documents d ON d.doc_id = f.chunk_id),
+scored AS (SELECT *, CASE WHEN n > 10 THEN round(score + 0.01 * len(list_intersect(list_distinct(list_filter(regexp_split_to_array(lower(question), '{_WS}'), lambda x: length(x) > 3)), list_filter(regexp_split_to_array(lower(text), '{_WS}'), lambda x: x <> ''))) + 0.05, 9) END AS rerank_score FROM cand),
+top AS (SELECT query_id, chunk_id, rerank_score, source, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC NULLS LAST, rank) AS rank FROM scored QUALIFY rank <= 10)
+"""
+
+
+@query(_TERMS + _SECOND + _RERANK.replace("AS rank FROM scored QUALIFY rank <= 10", "AS rank FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC NULLS LAST, scored.rank) <= 10").replace("LAST, rank) AS rank FROM scored", "LAST, scored.rank) AS rank FROM scored") + "SELECT query_id, chunk_id, rerank_score, rank FROM top")
+def hybrid_retrieve(spark, sf_dir):
+    fused = fusion.rrf([_second(spark, sf_dir), _sparse(spark, sf_dir)], [0.6, 0.4]).withColumn("score", F.round("score", 9))
+    b = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    c = fused.join(F.broadcast(b), "query_id").join(_docs(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text", "hierarchy_path"), "chunk_id")
+    score = F.round(rerank.heuristic_score(F.col("question"), F.col("text"), F.col("hierarchy_path"), F.col("score")), 9)
+    return rerank.rerank(c, 10, score=score).select("query_id", "chunk_id", "rerank_score", "rank")
+
+
+# --- planning and filters
+
+_TAGS = ["1.5.0-beta", "1.8.1-beta", "the"]
+
+
+@query(r"""WITH u AS (SELECT conv_id, turn, text, lower(text) AS low, regexp_matches(lower(text), '\b((compar|contrast|difference|différ|distinguish)[\p{L}\p{N}_]*|differs?|versus|vs\.?|better than|which (one )?is (best|better)|meilleure? que|par rapport [aà]|lequel est (le )?meilleur)\b|\bbetween\b.+\band\b|\bentre\b.+\bet\b') AS cmp,
+  regexp_extract(text, '(?i)\b(?:DELETE|GET|PATCH|POST|PUT)\b\s*(/[-\p{L}\p{N}_@%.:{}/~+]*)', 1) AS ep, regexp_extract(text, '/[-\p{L}\p{N}_@%.:{}/~+]+', 0) AS path FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, CASE WHEN cmp THEN 'comparative' WHEN ep <> '' OR path <> '' THEN 'factual' ELSE 'ambiguous' END AS intent, CASE WHEN ep <> '' THEN ep WHEN path <> '' THEN path END AS entity,
+ CASE WHEN regexp_matches(low, 'active|current') THEN 'active' WHEN regexp_matches(low, 'deprecated|obsolete') THEN 'deprecated' WHEN contains(low, 'superseded') THEN 'superseded' ELSE 'active' END AS status,
+ CASE WHEN regexp_matches(low, '(^|[^/\p{L}\p{N}_])v1\b') AND regexp_matches(low, '(^|[^/\p{L}\p{N}_])v2\b') THEN NULL WHEN contains(low, '1.5.0-beta') THEN '1.5.0-beta' WHEN contains(low, '1.8.1-beta') THEN '1.8.1-beta' WHEN contains(low, 'the') THEN 'the' END AS version_tag FROM u""")
+def plan_questions(spark, sf_dir):
+    q = _t(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
+    p = planner.plan(q, _TAGS)
+    return p.select("conv_id", "turn", "intent", "entity", F.col("filters.status").alias("status"), F.coalesce("filters.version_tag", F.get("filters.version_tags", F.lit(0))).alias("version_tag"))
+
+
+@query("""WITH c AS (SELECT s_nationkey AS query_id, s_suppkey AS chunk_id, contains(s_name, '7') AS hit FROM supplier)
+SELECT query_id, chunk_id FROM (SELECT *, bool_or(hit) OVER (PARTITION BY query_id) AS a FROM c) WHERE hit OR NOT a""")
+def hierarchy_post_filter(spark, sf_dir):
+    c = _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("query_id"), F.col("s_suppkey").alias("chunk_id"), F.col("s_name").alias("hierarchy_path"))
+    return filters.hierarchy_filter(c, F.lit("7")).select("query_id", "chunk_id")
+
+
+@query("""SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_nationkey = 7 AND NOT coalesce(c_name = 'Customer#000000007', false)""")
+def filter_dialects(spark, sf_dir):
+    must = filters.build_filter({"must": [{"key": "c_mktsegment", "match": {"any": ["BUILDING", "MACHINERY"]}}, {"key": "c_nationkey", "match": {"value": 7}}], "must_not": [{"key": "c_name", "match": {"value": "Customer#000000007"}}]})
+    flat = filters.build_filter({"c_nationkey": 7})
+    return _t(spark, sf_dir, "customer").where(must & flat).select("c_custkey")
+
+
+# --- versions
+
+_V = f"""v AS (SELECT doc_id, source, lang, 'v1' AS version_tag, 1 AS version_order, {_PLACE} AS hierarchy_path, text FROM documents
+ UNION ALL SELECT doc_id, source, lang, 'v2', 2, {_PLACE}, CASE WHEN doc_id % 5 = 0 THEN text || ' rev' ELSE text END FROM documents WHERE doc_id % 17 <> 0
+ UNION ALL SELECT doc_id + 1000000, source, lang, 'v2', 2, 'document > ' || source || ' > ' || source || '[' || (doc_id + 1000000) || ']', text FROM documents WHERE doc_id % 13 = 0)"""
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _t(spark, sf_dir, "documents").select("doc_id", "source", "text", "lang")
+    v2 = d.where("doc_id % 17 <> 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" rev"))).otherwise(F.col("text")))
+    more = d.where("doc_id % 13 = 0").withColumn("doc_id", F.col("doc_id") + 1_000_000)
+    tag = lambda df, t, o: df.withColumns({"version_tag": F.lit(t), "version_order": F.lit(o)})
+    both = tag(d, "v1", 1).unionByName(tag(v2.unionByName(more), "v2", 2))
+    return both.withColumn("hierarchy_path", F.concat(F.lit("document > "), "source", F.lit(" > "), "source", F.lit("["), F.col("doc_id").cast("string"), F.lit("]")))
+
+
+def _diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _versions(spark, sf_dir).select("source", "version_tag", F.concat("hierarchy_path", F.lit("|document#0")).alias("key"), F.sha2("text", 256).alias("hash"), F.create_map(F.lit("text"), F.col("text")).alias("fields"))
+    return diff.version_diff(v.where("version_tag = 'v1'"), v.where("version_tag = 'v2'"), ["source"])
+
+
+_DIFF = "WITH " + _V + """, d AS (SELECT coalesce(a.source, b.source) AS source, coalesce(a.hierarchy_path, b.hierarchy_path) || '|document#0' AS key, a.text AS old, b.text AS new,
+ CASE WHEN b.doc_id IS NULL THEN 'removed' WHEN a.doc_id IS NULL THEN 'added' WHEN sha256(a.text) <> sha256(b.text) THEN 'modified' END AS change_type
+ FROM (SELECT * FROM v WHERE version_tag = 'v1') a FULL JOIN (SELECT * FROM v WHERE version_tag = 'v2') b ON a.source = b.source AND a.hierarchy_path = b.hierarchy_path) """
+
+
+@query(_DIFF + "SELECT source, key, change_type, sha256(old) AS old_hash, sha256(new) AS new_hash, CASE WHEN change_type = 'modified' THEN new END AS new_text FROM d WHERE change_type IS NOT NULL")
+def version_diff(spark, sf_dir):
+    return _diff(spark, sf_dir).select("source", "key", "change_type", "old_hash", "new_hash", F.col("field_changes")["text"]["new"].alias("new_text"))
+
+
+@query(_DIFF + "SELECT source, count(*) FILTER (change_type = 'added') AS added, count(*) FILTER (change_type = 'removed') AS removed, count(*) FILTER (change_type = 'modified') AS modified FROM d WHERE change_type IS NOT NULL GROUP BY source")
+def version_diff_counts(spark, sf_dir):
+    return diff.counts(_diff(spark, sf_dir), ["source"])
+
+
+@query(_DIFF + "SELECT key, CASE change_type WHEN 'modified' THEN 3 ELSE 2 END AS index_score, CASE change_type WHEN 'modified' THEN 1 + least(length(old) + length(new), 400) // 100 END AS question_score FROM d WHERE change_type IS NOT NULL")
+def change_scores(spark, sf_dir):
+    d = _diff(spark, sf_dir)
+    f = F.col("field_changes")["text"]
+    return d.select("key", diff.index_score(F.col("change_type"), F.col("field_changes")).alias("index_score"), F.when(F.col("change_type") == "modified", diff.question_score(F.lit("text"), f["old"], f["new"])).alias("question_score"))
+
+
+@query(_DIFF + """, r AS (SELECT source, key, 1 + least(length(old) + length(new), 400) // 100 AS score FROM d WHERE change_type = 'modified'), t AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, key) AS n FROM r)
+SELECT source AS source_id, key, score FROM t WHERE n <= 3 ORDER BY score DESC, source, key LIMIT 15""")
+def diversity_cap(spark, sf_dir):
+    d = _diff(spark, sf_dir).withColumnRenamed("source", "source_id").withColumns({"version_from": F.lit("v1"), "version_to": F.lit("v2")})
+    return diff.diverse_top(d).select("source_id", "key", "score")
+
+
+@query(_DIFF + """SELECT source, 'Changes between v1 and v2:' || chr(10) || string_agg('- ' || key || CASE change_type WHEN 'added' THEN ': added in v2' WHEN 'removed' THEN ': removed since v1' ELSE ': modified' END, chr(10) ORDER BY key) AS summary FROM d WHERE change_type IS NOT NULL GROUP BY source""")
+def change_summary(spark, sf_dir):
+    d = _diff(spark, sf_dir).withColumns({"version_from": F.lit("v1"), "version_to": F.lit("v2"), "field_changes": F.lit(None).cast("map<string,struct<old:string,new:string>>")})
+    return diff.summarise(d, ["source"])
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _versions(spark, sf_dir)
+    return v.where("lang = 'en'").select((F.col("doc_id") % 50).alias("query_id"), F.concat_ws("@", F.col("doc_id").cast("string"), "version_tag").alias("chunk_id"), (F.col("doc_id") * 2 + F.col("version_order")).alias("rank"), F.col("source").alias("source_id"), "hierarchy_path", "version_tag", "version_order", "text", parent_path(F.col("hierarchy_path")).alias("parent_path"))
+
+
+_CAND = "WITH " + _V + f""", c AS (SELECT doc_id % 50 AS query_id, doc_id || '@' || version_tag AS chunk_id, doc_id * 2 + version_order AS rank, source AS source_id, hierarchy_path, version_tag, version_order, text, regexp_replace(hierarchy_path, '\\[[0-9]+\\]$', '') AS parent_path FROM v WHERE lang = 'en')"""
+
+
+@query(_CAND + """, k AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_id, hierarchy_path ORDER BY version_order DESC, rank) AS n, min(rank) OVER (PARTITION BY query_id, source_id, hierarchy_path) AS f FROM c)
+SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY f, n) AS rank FROM k WHERE n = 1""")
+def version_dedupe_latest(spark, sf_dir):
+    return expand.version_dedupe(_candidates(spark, sf_dir)).select("query_id", "chunk_id", "rank")
+
+
+@query(_CAND + rf""", m AS (SELECT *, array_to_string(list_filter(regexp_split_to_array(text, '{_WS}'), lambda x: x <> ''), ' ') AS norm FROM c), k AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_id, hierarchy_path ORDER BY version_order DESC, rank) AS n, row_number() OVER (PARTITION BY query_id, source_id, hierarchy_path, norm ORDER BY version_order DESC, rank) AS m FROM m)
+SELECT query_id, chunk_id FROM k WHERE n = 1 OR m = 1 OR norm = ''""")
+def version_dedupe_distinct(spark, sf_dir):
+    return expand.version_dedupe(_candidates(spark, sf_dir), F.lit(True)).select("query_id", "chunk_id")
+
+
+@query(_CAND + f""", p AS (SELECT doc_id || '@' || version_tag AS chunk_id, source AS source_id, version_tag, regexp_replace(hierarchy_path, '\\[[0-9]+\\]$', '') AS parent_path FROM v),
+g AS (SELECT DISTINCT query_id, parent_path, source_id, version_tag FROM c),
+s AS (SELECT *, row_number() OVER (PARTITION BY parent_path, source_id, version_tag ORDER BY chunk_id) AS n FROM p)
+SELECT query_id, chunk_id FROM g JOIN s USING (parent_path, source_id, version_tag) WHERE n <= 50 AND NOT EXISTS (SELECT 1 FROM c WHERE c.query_id = g.query_id AND c.chunk_id = s.chunk_id)""")
+def sibling_completion(spark, sf_dir):
+    p = _versions(spark, sf_dir).select(F.concat_ws("@", F.col("doc_id").cast("string"), "version_tag").alias("chunk_id"), F.col("source").alias("source_id"), "version_tag", parent_path(F.col("hierarchy_path")).alias("parent_path"))
+    return expand.siblings(_candidates(spark, sf_dir), p).select("query_id", "chunk_id")
+
+
+@query(_CAND + """, o AS (SELECT * FROM c WHERE version_tag = 'v1' OR length(text) > 1500), w AS (SELECT DISTINCT query_id, source_id, hierarchy_path, CASE version_tag WHEN 'v1' THEN 'v2' ELSE 'v1' END AS version_tag FROM o)
+SELECT w.query_id, v.doc_id || '@' || v.version_tag AS chunk_id FROM w JOIN v ON v.source = w.source_id AND v.hierarchy_path = w.hierarchy_path AND v.version_tag = w.version_tag
+WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.query_id = w.query_id AND o.hierarchy_path = w.hierarchy_path AND o.version_tag = w.version_tag)""")
+def counterpart_completion(spark, sf_dir):
+    p = _versions(spark, sf_dir).select(F.concat_ws("@", F.col("doc_id").cast("string"), "version_tag").alias("chunk_id"), F.col("source").alias("source_id"), "version_tag", "hierarchy_path")
+    some = _candidates(spark, sf_dir).where("version_tag = 'v1' or length(text) > 1500")
+    return expand.counterparts(some, p, F.lit("v1"), F.lit("v2")).select("query_id", "chunk_id")
+
+
+# --- reliability
+
+_STOP = ", ".join(f"'{w}'" for w in reliability.STOP_WORDS)
+
+
+@query(rf"""WITH t AS (SELECT b.item_id, d.doc_id, lower(d.text) AS h, list_filter(list_distinct(regexp_extract_all(lower(b.text), '[\p{{L}}\p{{N}}_]+')), lambda x: length(x) >= 3 AND x NOT IN ({_STOP})) AS terms FROM benchmark b JOIN documents d ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id),
+r AS (SELECT item_id, doc_id, CASE WHEN len(terms) = 0 THEN 0.0 ELSE len(list_filter(terms, lambda x: contains(h, x))) / len(terms) END AS ratio FROM t)
+SELECT item_id, doc_id, CASE WHEN ratio >= 0.6 THEN 'sufficient' WHEN ratio > 0 THEN 'partial' ELSE 'insufficient' END AS verdict, round(ratio, 6) AS ratio FROM r""")
+def sufficiency_entity_match(spark, sf_dir):
+    b = _t(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
+    d = _t(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % b.count()).alias("item_id"))
+    j = d.join(F.broadcast(b), "item_id").withColumn("t", reliability.question_terms(F.col("question")))
+    found = F.filter("t", lambda x: F.contains(F.lower("text"), x))
+    ratio = F.when(F.size("t") == 0, 0.0).otherwise(F.size(found) / F.size("t"))
+    return j.select("item_id", "doc_id", reliability.sufficiency(F.col("question"), F.col("text"))["verdict"].alias("verdict"), F.round(ratio, 6).alias("ratio"))
+
+
+_SIGNALS = """s AS (SELECT o_orderkey AS query_id, o_orderkey % 4 AS m, o_totalprice, (o_orderkey % 11) / 10.0 AS conf, CASE o_orderkey % 3 WHEN 0 THEN 'sufficient' WHEN 1 THEN 'partial' ELSE 'insufficient' END AS verdict, (o_orderkey % 7) / 6.0 AS sconf, o_orderstatus = 'F' AS low FROM orders),
+g AS (SELECT *, greatest(0, least(1, (0.3 * CASE WHEN m = 0 THEN 0 ELSE (least(1, o_totalprice / 300000) + 0.5) / 2 END + 0.3 * least(1, conf) + 0.3 * CASE verdict WHEN 'sufficient' THEN 1 WHEN 'partial' THEN 0.5 ELSE 0 END + 0.1 * sconf) * CASE WHEN low THEN 0.85 ELSE 1 END)) AS score FROM s)"""
+
+
+def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _t(spark, sf_dir, "orders")
+    verdict = F.when(F.col("o_orderkey") % 3 == 0, "sufficient").when(F.col("o_orderkey") % 3 == 1, "partial").otherwise("insufficient")
+    scores = F.when(F.col("o_orderkey") % 4 == 0, F.array().cast("array<double>")).otherwise(F.array(F.col("o_totalprice") / 300000, F.lit(0.5)))
+    return o.select(F.col("o_orderkey").alias("query_id"), reliability.gate(scores, F.col("o_orderkey") % 11 / 10.0, verdict, F.col("o_orderkey") % 7 / 6.0, F.col("o_orderstatus") == "F").alias("g"), ((F.col("o_orderkey") % 3) == 2).alias("should_abstain"))
+
+
+@query("WITH " + _SIGNALS + " SELECT query_id, CASE WHEN score > 0.7 THEN 'answer' WHEN score >= 0.25 THEN 'answer_with_caveat' ELSE 'abstain' END AS action FROM g")
+def abstention_gate(spark, sf_dir):
+    return _signals(spark, sf_dir).select("query_id", "g.action")
+
+
+@query("""WITH s AS (SELECT round((o_orderkey % 1000) / 1000.0, 3) AS score, o_orderkey % 3 = 2 AS should FROM orders), t AS (SELECT unnest([0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65])::DOUBLE AS threshold)
+SELECT threshold, count(*) FILTER (score::DOUBLE < threshold AND NOT should) AS false_abstentions, count(*) FILTER (score::DOUBLE < threshold AND should) AS correct_abstentions, avg(((score::DOUBLE < threshold) = should)::INT) AS accuracy FROM s, t GROUP BY threshold""")
+def threshold_sweep(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").select(F.round(F.col("o_orderkey") % 1000 / 1000.0, 3).alias("score"), ((F.col("o_orderkey") % 3) == 2).alias("should_abstain"))
+    return reliability.threshold_sweep(o)
+
+
+@query("""WITH v AS (SELECT l_orderkey AS pair_id, l_linenumber AS sample, l_returnflag <> 'N' AS conflict, CASE WHEN l_linestatus = 'F' THEN 'factual' ELSE '' END AS type FROM lineitem),
+t AS (SELECT pair_id, count(*) FILTER (conflict) * 2 > count(*) AS c, count(*) FILTER (conflict) AS yes, count(*) AS n FROM v GROUP BY pair_id)
+SELECT t.pair_id, c AS conflict, round(greatest(yes, n - yes) / n, 6) AS share, CASE WHEN c THEN (SELECT arg_min(type, sample) FROM v WHERE v.pair_id = t.pair_id AND v.conflict = t.c AND type <> '') END AS type FROM t""")
+def majority_vote(spark, sf_dir):
+    v = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pair_id"), F.col("l_linenumber").alias("sample"), (F.col("l_returnflag") != "N").alias("conflict"), F.when(F.col("l_linestatus") == "F", "factual").otherwise("").alias("type"), F.lit("x").alias("explanation"))
+    n = v.groupBy("pair_id").agg(F.count_if("conflict").alias("yes"), F.count("*").alias("n"))
+    return reliability.majority_vote(v).join(n, "pair_id").select("pair_id", "conflict", F.round(F.greatest("yes", F.col("n") - F.col("yes")) / F.col("n"), 6).alias("share"), "type")
+
+
+@query("""WITH r AS (SELECT p_size AS query_id, p_partkey AS chunk_id, p_brand AS source_id, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS rank FROM part QUALIFY rank <= 10)
+SELECT a.query_id, a.chunk_id AS a, b.chunk_id AS b FROM r a JOIN r b USING (query_id) WHERE a.rank < b.rank AND a.source_id <> b.source_id""")
+def cross_source_pairs(spark, sf_dir):
+    p = _t(spark, sf_dir, "part").select(F.col("p_size").alias("query_id"), F.col("p_partkey").alias("chunk_id"), F.col("p_brand").alias("source_id"), F.lit(0).alias("score"))
+    return expand.cross_source_pairs(search.top_k(p, 10))
+
+
+@query("""WITH r AS (SELECT p_size AS query_id, p_partkey AS chunk_id, p_brand AS source_id, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS rank FROM part), o AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_id ORDER BY rank) AS n FROM r)
+SELECT query_id, chunk_id, source_id FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS c FROM o WHERE n = 1) WHERE c >= 2""")
+def evidence_per_source(spark, sf_dir):
+    p = _t(spark, sf_dir, "part").select(F.col("p_size").alias("query_id"), F.col("p_partkey").alias("chunk_id"), F.col("p_brand").alias("source_id"), F.col("p_partkey").alias("rank"))
+    return expand.evidence_per_source(p).select("query_id", "chunk_id", "source_id")
+
+
+@query("""SELECT o_orderkey, CASE WHEN k = 'none' THEN 'none' WHEN k = 'opinion' THEN 'multi_perspective' WHEN d1 IS DISTINCT FROM d2 AND d1 IS NOT NULL AND d2 IS NOT NULL OR v1 <> v2 THEN 'prefer_recent' ELSE 'undetermined' END AS strategy,
+ CASE WHEN k IN ('factual', 'temporal') THEN CASE WHEN d1 > d2 THEN 'a' WHEN d2 > d1 THEN 'b' WHEN v1 > v2 THEN 'a' WHEN v2 > v1 THEN 'b' END END AS preferred FROM (
+ SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'opinion' WHEN 2 THEN 'factual' ELSE 'temporal' END AS k, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderdate AS DATE) END AS d1, CASE WHEN o_orderkey % 5 <> 0 THEN DATE '1996-01-01' END AS d2, o_custkey % 3 AS v1, o_orderkey % 2 AS v2 FROM orders)""")
+def conflict_resolution(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders")
+    k = F.when(F.col("o_orderkey") % 4 == 0, "none").when(F.col("o_orderkey") % 4 == 1, "opinion").when(F.col("o_orderkey") % 4 == 2, "factual").otherwise("temporal")
+    a = F.struct(F.lit("a").alias("chunk_id"), F.when(F.col("o_orderkey") % 3 == 0, F.to_date("o_orderdate")).alias("valid_until"), (F.col("o_custkey") % 3).alias("version_order"))
+    b = F.struct(F.lit("b").alias("chunk_id"), F.when(F.col("o_orderkey") % 5 != 0, F.lit("1996-01-01").cast("date")).alias("valid_until"), (F.col("o_orderkey") % 2).alias("version_order"))
+    r = reliability.resolve(k != "none", k, a, b)
+    return o.select("o_orderkey", r["strategy"].alias("strategy"), r["preferred_chunk_id"].alias("preferred"))
+
+
+# --- context, citations
+
+
+@query("WITH " + _V + """ SELECT doc_id, string_agg('### [' || version_tag || '] Section' || chr(10) || '**Path:** ' || hierarchy_path || chr(10) || '**Version:** ' || version_tag || chr(10) || chr(10) || text || chr(10) || chr(10) || '---' || chr(10), chr(10) ORDER BY version_order) AS context FROM v GROUP BY doc_id""")
+def context_labelled(spark, sf_dir):
+    n = lambda t: F.lit(None).cast(t)
+    c = _versions(spark, sf_dir).select(F.col("doc_id").alias("query_id"), F.col("version_order").alias("rank"), F.col("version_tag").alias("chunk_id"), n("string").alias("section_title"), "hierarchy_path", "text", n("string").alias("status"), "version_tag", n("date").alias("valid_from"), n("date").alias("valid_until"), n("string").alias("parent_chunk_id"))
+    return generate.contexts(c, c.limit(0)).withColumnRenamed("query_id", "doc_id")
+
+
+@query(rf"""WITH raw AS (SELECT item_id AS query_id, i AS pos, CASE i WHEN 0 THEN item_id WHEN 1 THEN item_id + 10000000 ELSE item_id + 1 END AS chunk_id, CASE i WHEN 0 THEN 'no such span' ELSE left(text, 20) END AS span FROM benchmark, (SELECT unnest([0, 1, 2]) AS i)),
+j AS (SELECT query_id, pos, chunk_id, d.text, span, contains(array_to_string(list_filter(regexp_split_to_array(d.text, '{_WS}'), lambda x: x <> ''), ' '), array_to_string(list_filter(regexp_split_to_array(span, '{_WS}'), lambda x: x <> ''), ' ')) AS ok FROM raw JOIN documents d ON d.doc_id = chunk_id)
+SELECT query_id, 'cit_' || lpad(CAST(row_number() OVER (PARTITION BY query_id ORDER BY pos) AS VARCHAR), 3, '0') AS citation_id, CAST(chunk_id AS VARCHAR) AS chunk_id, sha256(CASE WHEN ok THEN span ELSE text END) AS span_hash FROM j""")
+def citation_enrichment(spark, sf_dir):
+    c = lambda i, span: F.struct(i.cast("string").alias("chunk_id"), span.alias("text_span"), F.lit("direct").alias("support_level"), F.lit("").alias("claim"))
+    cut = F.left("text", F.lit(20))
+    raw = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array(c(F.col("item_id"), F.lit("no such span")), c(F.col("item_id") + 10_000_000, cut), c(F.col("item_id") + 1, cut)).alias("citations"))
+    p = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "text", F.col("source").alias("source_path"), F.lit("").alias("section_title"), F.lit(None).cast("int").alias("page_num"), F.lit(None).cast("int").alias("line_num"))
+    return generate.cite(raw, p).select("query_id", "citation_id", "chunk_id", F.sha2("text_span", 256).alias("span_hash"))
+
+
+@query("""SELECT conv_id, turn, text AS question, answer FROM (SELECT conv_id, turn, role, text, lead(role) OVER w AS next_role, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next_role = 'assistant'""")
+def chat_turn_pairs(spark, sf_dir):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = _t(spark, sf_dir, "conversations").withColumns({"next_role": F.lead("role").over(w), "answer": F.lead("text").over(w)})
+    return c.where("role = 'user' and next_role = 'assistant'").select("conv_id", "turn", F.col("text").alias("question"), "answer")
+
+
+# --- evaluation
+
+_EVAL = """WITH r AS (SELECT o_custkey AS query_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rank, o_orderpriority AS p FROM orders), e AS (SELECT c_custkey AS query_id, CASE c_custkey % 3 WHEN 0 THEN ['1-URGENT', './2-HIGH'] WHEN 1 THEN ['5-LOW'] ELSE CAST([] AS VARCHAR[]) END AS expected FROM customer),
+x AS (SELECT query_id, list_distinct(list_transform(expected, lambda v: ltrim(v, './'))) AS ex FROM e), j AS (SELECT r.*, ex, CAST(list_contains(ex, p) AS INT) AS rel FROM r JOIN x USING (query_id)),
+k AS (SELECT unnest([5, 10]) AS k), per AS (SELECT query_id, k, avg(rel) AS precision, sum(rel / log2(rank + 1)) AS dcg, CAST(sum(rel) AS BIGINT) AS n, count(DISTINCT CASE WHEN rel = 1 THEN p END) AS met FROM j, k WHERE rank <= k GROUP BY ALL), f AS (SELECT query_id, 1 / min(CASE WHEN rel = 1 THEN rank END) AS mrr FROM j GROUP BY 1)
+SELECT x.query_id, CAST(k.k AS INTEGER) AS k, round(CASE WHEN len(ex) = 0 THEN 1.0 ELSE coalesce(met / len(ex), 0) END, 9) AS recall, round(coalesce(precision, 0), 9) AS precision, round(coalesce(CASE WHEN n > 0 THEN dcg / list_sum(list_transform(range(1, n + 1), lambda i: 1 / log2(i + 1))) END, 0), 9) AS ndcg, round(coalesce(mrr, 0), 9) AS mrr
+FROM x CROSS JOIN k LEFT JOIN per ON per.query_id = x.query_id AND per.k = k.k LEFT JOIN f ON f.query_id = x.query_id"""
+
+
+@query(_EVAL)
+def eval_retrieval_metrics(spark, sf_dir):
+    from pyspark.sql import Window
+
+    r = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("query_id"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("rank"), F.col("o_orderpriority").alias("source_path"))
+    c = F.col("c_custkey") % 3
+    e = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("query_id"), F.when(c == 0, F.array(F.lit("1-URGENT"), F.lit("./2-HIGH"))).when(c == 1, F.array(F.lit("5-LOW"))).otherwise(F.array().cast("array<string>")).alias("expected"))
+    m = metrics.retrieval(r, e, [5, 10])
+    return m.select("query_id", "k", *[F.round(x, 9).alias(x) for x in ("recall", "precision", "ndcg", "mrr")])
+
+
+@query("""WITH j AS (SELECT source, quality, toxic, n_chars FROM documents JOIN labels USING (doc_id))
+SELECT source, count(*) AS total, count(*) FILTER (toxic > 0) AS with_citations, count(*) FILTER (toxic > 0 AND quality < 0.5) AS hallucinated, count(*) FILTER (toxic <= 0) AS without_citations, round(coalesce(count(*) FILTER (toxic > 0 AND quality < 0.5) / nullif(count(*) FILTER (toxic > 0), 0), 0), 9) AS rate FROM j GROUP BY source""")
+def eval_hallucination(spark, sf_dir):
+    j = _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels"), "doc_id").select("source", F.col("toxic").alias("n_citations"), F.col("quality").cast("double").alias("faithfulness"))
+    return metrics.hallucination(j, ["source"]).withColumn("rate", F.round("rate", 9))
+
+
+@query("""WITH j AS (SELECT source, quality = 0 AS sa, toxic = 1 AS ab, lang = 'en' AS hc, doc_id % 2 = 0 AS sc, CAST(CASE WHEN doc_id % 3 <> 0 THEN quality END AS DOUBLE) AS fa FROM documents JOIN labels USING (doc_id))
+SELECT source, round(avg(fa), 9) AS faithfulness, round(avg(ab::INT) FILTER (sa), 9) AS correct_abstention, round(avg(ab::INT) FILTER (NOT sa), 9) AS false_abstention, round(avg((NOT sc)::INT) FILTER (hc), 9) AS missed_conflict, round(avg(sc::INT) FILTER (NOT hc), 9) AS false_conflict FROM j GROUP BY source""")
+def eval_judge_rates(spark, sf_dir):
+    j = _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels"), "doc_id").select("source", (F.col("quality") == 0).alias("should_abstain"), (F.col("toxic") == 1).alias("abstained"), (F.col("lang") == "en").alias("has_conflict"), (F.col("doc_id") % 2 == 0).alias("said_conflict"), F.when(F.col("doc_id") % 3 != 0, F.col("quality").cast("double")).alias("faithfulness"))
+    m = metrics.judge_summary(j, ["source"])
+    return m.select("source", *[F.round(c, 9).alias(c) for c in m.columns if c != "source"])
+
+
+@query("""WITH r AS (SELECT user_id AS query_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rank, CAST(event_type = 'click' AS INT) AS useful FROM events), p AS (SELECT *, sum(useful) OVER (PARTITION BY query_id ORDER BY rank) / rank * useful AS p FROM r)
+SELECT query_id, round(sum(p) / (sum(useful) + 1e-10), 9) AS context_precision FROM p GROUP BY query_id""")
+def eval_context_precision(spark, sf_dir):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    r = _t(spark, sf_dir, "events").select(F.col("user_id").alias("query_id"), F.row_number().over(w).alias("rank"), (F.col("event_type") == "click").cast("int").alias("useful"))
+    return metrics.context_precision(r).withColumn("context_precision", F.round("context_precision", 9))
+
+
+@query("""WITH s AS (SELECT event_type, list_sort(list(value)) AS v, count(value) AS n, avg(value) AS a FROM events WHERE value IS NOT NULL GROUP BY event_type)
+SELECT event_type, n, round(a, 6) AS avg, v[n // 2 + 1] AS p50, v[least(n - 1, CAST(floor(n * 0.95) AS BIGINT)) + 1] AS p95 FROM s""")
+def latency_stats(spark, sf_dir):
+    return metrics.latency(_t(spark, sf_dir, "events"), "value", ["event_type"]).withColumn("avg", F.round("avg", 6))
+
+
+@query("""SELECT source, doc_id, turn FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn FROM documents) ORDER BY turn, source LIMIT 50""")
+def round_robin_sample(spark, sf_dir):
+    return metrics.round_robin(_t(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id", 50)
+
+
+@query("""SELECT source AS source_id, count(*) AS documents, sum(len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13)) <> ''))) AS chunks FROM documents GROUP BY ROLLUP (source)""")
+def ingestion_report(spark, sf_dir):
+    n = F.size(F.filter(F.split("text", "\n"), lambda x: strip_ws(x) != ""))
+    return _t(spark, sf_dir, "documents").withColumn("n", n).rollup(F.col("source").alias("source_id")).agg(F.count("*").alias("documents"), F.sum("n").alias("chunks"))
+
+
+@query(rf"""SELECT item_id, doc_id, len(list_intersect(list_distinct(list_filter(regexp_split_to_array(lower(b.text), '{_WS}'), lambda x: length(x) > 3)), list_filter(regexp_split_to_array(lower(d.text), '{_WS}'), lambda x: x <> ''))) AS hits FROM benchmark b JOIN documents d ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id""")
+def keyword_intersection(spark, sf_dir):
+    b = _t(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
+    d = _t(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % b.count()).alias("item_id"))
+    return d.join(F.broadcast(b), "item_id").select("item_id", "doc_id", rerank.keyword_hits(F.col("question"), F.col("text")).cast("long").alias("hits"))
+
+
+@query("""SELECT url, ltrim(replace(url, chr(92), '/'), './') AS norm, suffix(url, 'html') AS relevant FROM pages""")
+def relevance_predicate(spark, sf_dir):
+    p = _t(spark, sf_dir, "pages")
+    return p.select("url", path_norm(F.col("url")).alias("norm"), filters.is_relevant(F.col("url"), F.array(F.lit("html"))).alias("relevant"))
+
+
+# --- windows over events, star schema
+
+
+@query("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
+def event_windows(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    w = windowed_counts(e).withColumn("total", F.round("total", 4))
+    return w.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM s GROUP BY user_id, k""")
+def event_sessions(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return sessions(e).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
+
+
+@query("""SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS disc FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""")
+def star_pricing(spark, sf_dir):
+    li = _t(spark, sf_dir, "lineitem").where("l_shipdate <= timestamp_ntz '1998-09-02 00:00:00'")
+    return li.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.round(F.avg("l_discount"), 6).alias("disc"))
+
+
+@query("""SELECT n_name, r_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY CUBE (n_name, r_name)""")
+def star_cube(spark, sf_dir):
+    o, c, n, r = (_t(spark, sf_dir, x) for x in ("orders", "customer", "nation", "region"))
+    j = o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), c.c_nationkey == n.n_nationkey).join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
+    return j.cube("n_name", "r_name").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query(rf"""SELECT conv_id, turn, len(list_filter(regexp_split_to_array(text, '{_WS}'), lambda x: x <> '')) AS tokens FROM conversations""")
+def token_counts(spark, sf_dir):
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(tokens_ws(F.col("text"))).cast("long").alias("tokens"))
