@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -25,17 +27,27 @@ def register(name: str, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.Data
     PROVIDERS[name] = run
 
 
-def _extractive(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A stand-in for a model: the first sentence of the first chunk, cited."""
-    import json
-    import re
+def _best_line(prompt: str) -> tuple[str, str]:
+    """Chunk id and line of the context that shares most words with the question, the first among equals."""
+    words = lambda x: {w for w in re.findall(r"\w+", x.lower()) if len(w) > 2}
+    asked, _, rest = prompt.partition("\n\n")
+    want, best = words(asked.removeprefix("Question: ")), ("", "", 0)
+    for part in rest.split("### [")[1:]:
+        chunk_id, _, body = part.partition("]")
+        for line in body.split("\n")[1:]:
+            text = line.strip()
+            if text and not text.startswith(("**", ">", "---", "#", "```")) and (n := len(want & words(text))) > best[2]:
+                best = (chunk_id, text, n)
+    return best[:2]
+
 
+def _extractive(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A stand-in for a model: the line that fits the question best, cited."""
     for f in frames:
         out = []
         for prompt in f["prompt"]:
-            m = re.search(r"### \[([^\]]+)\][^\n]*\n(?:\*\*[^\n]*\n)*\n(.+?)(?:(?<=[.!?])\s|\n)", prompt or "", re.S)
-            span = m.group(2).strip() if m else ""
-            cited = [{"chunk_id": m.group(1), "text_span": span, "support_level": "direct", "claim": span}] if span else []
+            chunk_id, span = _best_line(prompt or "")
+            cited = [{"chunk_id": chunk_id, "text_span": span, "support_level": "direct", "claim": span}] if span else []
             out.append(json.dumps({"answer": span, "no_answer_found": not span, "citations": cited, "confidence": 0.8 if span else 0.0, "sufficiency_score": 0.8 if span else 0.0}))
         yield pd.DataFrame({"query_id": f["query_id"], "output": out})
 

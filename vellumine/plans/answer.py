@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,16 @@ from vellumine.operators.diff import summarise
 from vellumine.plans import planner
 
 BRANCH, TOP = 15, 10
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """df computed once, in the folder of spark.checkpoint.dir that driver and executors share; a folder is made only where none is set."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vellumine-"))
+    return df.checkpoint()
+
+
 _PLACE = ["chunk_id", "text", "source_id", "source_path", "hierarchy_path", "parent_path", "parent_chunk_id", "section_title", "version_tag", "version_order", "status", "valid_from", "valid_until", "page_num", "line_num"]
 
 
@@ -21,7 +33,7 @@ def retrieve(questions: DataFrame, points: DataFrame, index: DataFrame, version_
     """
     q = planner.plan(questions, version_tags)
     col = {c: F.col(f"p.{c}") for c in ("status", "version_tag", "valid_from", "valid_until")}
-    ok = lambda hits: hits.alias("h").join(q.alias("q"), "query_id").join(points.select("chunk_id", *col).alias("p"), "chunk_id").where(filters.plan_condition(F.struct(F.col("q.filters").alias("filters")), F.col("q.question"), col)).select("query_id", "chunk_id", F.col("h.score").alias("score"))
+    ok = lambda hits: hits.alias("h").join(q.alias("q"), "query_id").join(points.select("chunk_id", *list(col)).alias("p"), "chunk_id").where(filters.plan_condition(F.struct(F.col("q.filters").alias("filters")), F.col("q.question"), col)).select("query_id", "chunk_id", F.col("h.score").alias("score"))
     branches = {}
     if strategy in ("sparse", "hybrid"):
         wanted = search.query_terms(q, terms(F.lower("question")))
@@ -34,7 +46,7 @@ def retrieve(questions: DataFrame, points: DataFrame, index: DataFrame, version_
     else:
         ranked = next(iter(branches.values()))
     c = ranked.select("query_id", "chunk_id", "score", "rank").join(points.select(*_PLACE), "chunk_id").join(q.select("query_id", "question", "intent", "entity", "filters"), "query_id")
-    c = refine(c, points)
+    c = refine(settle(c), points)
     return rerank.rerank(c, top, rerank_on)
 
 
@@ -52,13 +64,14 @@ def refine(c: DataFrame, points: DataFrame) -> DataFrame:
 
 def answer(questions: DataFrame, points: DataFrame, index: DataFrame, version_tags: list[str], changes: DataFrame | None = None, sources: DataFrame | None = None, provider: str = "extractive", top: int = TOP, votes: DataFrame | None = None) -> DataFrame:
     """(query_id, answer, citations, confidence, zone, combined_score, sufficiency, conflicts) of each question."""
-    ranked = retrieve(questions, points, index, version_tags, top)
+    ranked = settle(retrieve(questions, points, index, version_tags, top))  # used by all that follows
     diff, own = None, None
     if changes is not None and sources is not None:
         asked = ranked.where("intent = 'comparative'")
         own = expand.diff_lookup(asked, questions.select("query_id", "question"), sources, changes)
         paths = filters.target_paths(asked, own.select("query_id", F.regexp_replace("key", r"\|[^|]*$", "").alias("hierarchy_path"), F.lit(1).alias("rank")))
         own = own.join(paths, "query_id").where(F.array_contains("paths", F.regexp_replace("key", r"\|[^|]*$", ""))).drop("paths")
+        own = settle(own)
         diff = summarise(own, ["query_id"])
         used = filters.narrow(ranked, paths)
     else:
