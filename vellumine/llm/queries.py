@@ -32,7 +32,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode(read(spark, sf_dir, "documents")).select(F.col("key").cast("long").alias("doc_id"), "samples", "exact")
+    return pieces.encode(read(spark, sf_dir, "documents")).select(F.col("key").cast("long").alias("doc_id"), "samples")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
