@@ -6,9 +6,10 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from vellumine import settings
 from vellumine.functions import text as T
 from vellumine.functions.vectors import cosine, unit
-from vellumine.operators import diff, expand, filters, fusion, generate, metrics, reliability, rerank, search, tree
+from vellumine.operators import diff, embed, expand, filters, fusion, generate, metrics, reliability, rerank, search, tree
 from vellumine.plans import answer, ingest, planner
 from vellumine.sources import files, sinks
 from vellumine.streaming import ingest as stream
@@ -274,3 +275,37 @@ def test_streams(spark, corpus, tmp_path):
     q = stream.running_totals(live).writeStream.format("memory").queryName("rt").outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination(180)
     assert spark.table("rt").groupBy("user_id").agg(F.max("n").alias("n")).agg(F.sum("n")).first()[0] == e.count()
+
+
+def test_embeddings(spark):
+    d = spark.createDataFrame([(1, "alpha beta alpha"), (2, ""), (3, None)], "id long, text string")
+    v = {r.id: r.vector for r in embed.with_vectors(d).collect()}
+    assert len(v[1]) == 64 and abs(sum(x * x for x in v[1]) - 1) < 1e-9 and set(v[2]) == {0.0}
+    assert d.where("id = 1").select(embed.sparse_weights(F.col("text")).alias("m")).first().m == {"alpha": 1 + __import__("math").log(2), "beta": 1.0}
+    m = embed.model(lambda: lambda texts: [[float(len(t))] for t in texts], 1)
+    assert {r.id: r.vector for r in embed.with_vectors(d, by=m).collect()} == {1: [16.0], 2: [0.0], 3: None}
+
+
+def test_providers_are_tried_again(spark):
+    calls = []
+
+    def flaky(frames):
+        calls.append(1)
+        if len(calls) < 2:
+            raise RuntimeError("not yet")
+        for f in frames:
+            yield f.assign(output="ok")[["query_id", "output"]]
+
+    import pandas as pd
+
+    f = pd.DataFrame({"query_id": [1], "prompt": ["p"]})
+    assert list(generate.retrying(flaky, 2, 0)(iter([f])))[0].output.tolist() == ["ok"]
+    calls.clear()
+    assert list(generate.retrying(flaky, 1, 0)(iter([f])))[0].output.tolist() == [""]
+
+
+def test_settings(monkeypatch):
+    monkeypatch.setenv("VELLUMINE_TOP_K", "3")
+    monkeypatch.setenv("VELLUMINE_RERANK", "false")
+    s = settings.load()
+    assert (s.top_k, s.rerank, s.gate_low) == (3, False, 0.25)

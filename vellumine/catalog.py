@@ -203,14 +203,14 @@ def hybrid_retrieve(spark, sf_dir):
 
 # --- planning and filters
 
-_TAGS = ["1.5.0-beta", "1.8.1-beta", "the"]
+_TAGS = ["2.0-rc1", "2.1-rc4", "the"]
 
 
 @query(r"""WITH u AS (SELECT conv_id, turn, text, lower(text) AS low, regexp_matches(lower(text), '\b((compar|contrast|difference|différ|distinguish)[\p{L}\p{N}_]*|differs?|versus|vs\.?|better than|which (one )?is (best|better)|meilleure? que|par rapport [aà]|lequel est (le )?meilleur)\b|\bbetween\b.+\band\b|\bentre\b.+\bet\b') AS cmp,
   regexp_extract(text, '(?i)\b(?:DELETE|GET|PATCH|POST|PUT)\b\s*(/[-\p{L}\p{N}_@%.:{}/~+]*)', 1) AS ep, regexp_extract(text, '/[-\p{L}\p{N}_@%.:{}/~+]+', 0) AS path FROM conversations WHERE role = 'user')
 SELECT conv_id, turn, CASE WHEN cmp THEN 'comparative' WHEN ep <> '' OR path <> '' THEN 'factual' ELSE 'ambiguous' END AS intent, CASE WHEN ep <> '' THEN ep WHEN path <> '' THEN path END AS entity,
  CASE WHEN regexp_matches(low, 'active|current') THEN 'active' WHEN regexp_matches(low, 'deprecated|obsolete') THEN 'deprecated' WHEN contains(low, 'superseded') THEN 'superseded' ELSE 'active' END AS status,
- CASE WHEN regexp_matches(low, '(^|[^/\p{L}\p{N}_])v1\b') AND regexp_matches(low, '(^|[^/\p{L}\p{N}_])v2\b') THEN NULL WHEN contains(low, '1.5.0-beta') THEN '1.5.0-beta' WHEN contains(low, '1.8.1-beta') THEN '1.8.1-beta' WHEN contains(low, 'the') THEN 'the' END AS version_tag FROM u""")
+ CASE WHEN regexp_matches(low, '(^|[^/\p{L}\p{N}_])v1\b') AND regexp_matches(low, '(^|[^/\p{L}\p{N}_])v2\b') THEN NULL WHEN contains(low, '2.0-rc1') THEN '2.0-rc1' WHEN contains(low, '2.1-rc4') THEN '2.1-rc4' WHEN contains(low, 'the') THEN 'the' END AS version_tag FROM u""")
 def plan_questions(spark, sf_dir):
     q = _t(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
     p = planner.plan(q, _TAGS)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -27,6 +28,25 @@ def register(name: str, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.Data
     PROVIDERS[name] = run
 
 
+def retrying(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], attempts: int = 2, pause: float = 5.0) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A provider that tries a frame again after a failure; what still fails is a row of empty output, which parses as no answer."""
+
+    def safe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for left in range(attempts, 0, -1):
+                try:
+                    done = list(run(iter([f])))
+                    break
+                except Exception:
+                    if left == 1:
+                        done = [pd.DataFrame({"query_id": f["query_id"], "output": [""] * len(f)})]
+                    else:
+                        time.sleep(pause)
+            yield from done
+
+    return safe
+
+
 def _best_line(prompt: str) -> tuple[str, str]:
     """Chunk id and line of the context that shares most words with the question, the first among equals."""
     words = lambda x: {w for w in re.findall(r"\w+", x.lower()) if len(w) > 2}
