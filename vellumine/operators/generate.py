@@ -49,7 +49,7 @@ def retrying(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], at
 
 def _best_line(prompt: str) -> tuple[str, str]:
     """Chunk id and line of the context that shares most words with the question, the first among equals."""
-    words = lambda x: {w for w in re.findall(r"\w+", x.lower()) if len(w) > 2}
+    words = lambda x: set(filter(lambda w: len(w) > 2, re.split(r"\W+", x.lower())))
     asked, _, rest = prompt.partition("\n\n")
     want, best = words(asked.removeprefix("Question: ")), ("", "", 0)
     for part in rest.split("### [")[1:]:

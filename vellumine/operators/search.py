@@ -61,8 +61,9 @@ def sparse(query_postings: DataFrame, index: DataFrame, k: int = 10) -> DataFram
     return top_k(hit, k)
 
 
-def change_nodes(queries: DataFrame, change_points: DataFrame, source_id: str, version_from: str, version_to: str, k: int = 10) -> DataFrame:
-    """dense() over the change points of one version pair, whose partition alone is read."""
+def change_nodes(queries: DataFrame, change_points: DataFrame, pair: tuple[str, str, str], k: int = 10) -> DataFrame:
+    """dense() over the change points of one pair (source, from, to), whose partition alone is read."""
+    source_id, version_from, version_to = pair
     where = (F.col("source_id") == source_id) & (F.col("version_from") == version_from) & (F.col("version_to") == version_to)
     return dense(queries, change_points, k, where)
 

@@ -23,7 +23,7 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-_PLACE = ["chunk_id", "text", "source_id", "source_path", "hierarchy_path", "parent_path", "parent_chunk_id", "section_title", "version_tag", "version_order", "status", "valid_from", "valid_until", "page_num", "line_num"]
+_PLACE = ["chunk_id", "text", "source_id", "source_path", "hierarchy_path", "parent_path", "parent_chunk_id", "section_title", "version_tag", "version_order", "status", "valid_until", "valid_from", "line_num", "page_num"]
 
 
 def retrieve(questions: DataFrame, points: DataFrame, index: DataFrame, version_tags: list[str], top: int = TOP, rerank_on: bool = True, strategy: str = "hybrid") -> DataFrame:
