@@ -20,7 +20,7 @@ _SPACE = "▁"
 #: A word: the spaces before it and what follows up to the next space. No piece goes beyond a word.
 _WORD = re.compile(r" *[^ ]+| +")
 #: Lattices that a worker keeps; they can be made again at any time. Characters of text taken at once.
-_LATTICES, _CHARS = 12_000, 1_000_000
+_LATTICES, _CHARS = 12_000, 250_000
 
 
 class _Lattice:
@@ -91,7 +91,9 @@ _MULT, _GOLD = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0x9E3779B97F4A7C15)
 #: A set of segmentations of a share of its word's mass under this is taken as empty (single precision ends there).
 _LEAST = 1e-6
 #: Words up to so many characters are segmented all together, in tables of that width; longer ones alone.
-_WIDTHS = (8, 16, 32)
+_WIDTHS = (6, 9, 13, 20, 32)
+#: Words of each width whose tables a worker keeps.
+_ROWS = {6: 8_000, 9: 10_000, 13: 5_000, 20: 1_000, 32: 300}
 
 
 def _uniform(seed: np.ndarray, step: int) -> np.ndarray:
@@ -106,22 +108,56 @@ def _gumbel(u: np.ndarray) -> np.ndarray:
     return -np.log(-np.log(np.clip(u, 1e-300, 1 - 1e-16)))
 
 
+class _Store:
+    """Tables of the words met so far of one width; emptied when full."""
+
+    def __init__(self, width: int, most: int) -> None:
+        self.width, self.most, self.rows, self.at = width, most, _ROWS[width], {}
+        self._make()
+
+    def _make(self) -> None:
+        shape = (self.width + 1, self.rows, self.most)
+        self.arrays = np.zeros(shape, np.float32), np.zeros(shape, np.int32), np.zeros(self.rows, np.float32), np.zeros(self.rows, np.int64)
+
+    def places(self, pieces: "Pieces", words: list[str]) -> list[int]:
+        new = [w for w in words if w not in self.at]
+        if len(self.at) + len(new) > self.rows:
+            self.at, new = {}, list(words)
+            if len(new) > self.rows:  # for texts of so many words at once
+                self.rows = 2 * len(new)
+                self._make()
+        if new:
+            new.sort(key=len, reverse=True)
+            first = len(self.at)
+            part = slice(first, first + len(new))
+            for whole, own in zip(self.arrays, pieces._tables(new, self.width)):
+                if whole.ndim == 3:
+                    whole[:, part] = own
+                else:
+                    whole[part] = own
+            self.arrays[3][part] = np.fromiter(map(len, new), np.int64, len(new))
+            self.at.update(zip(new, range(first, first + len(new))))
+        return list(map(self.at.__getitem__, words))
+
+
 class _Words:
     """The distinct words of some texts, with the tables of their lattices by width."""
 
     def __init__(self, pieces: "Pieces", parts: list[list[str]]) -> None:
-        seen: dict[str, int] = {}
-        self.word = np.array([seen.setdefault(w, len(seen)) for p in parts for w in p], np.int64)
-        self.words = list(seen)
-        size = np.array([len(w) for w in self.words], np.int64)
+        every = [w for p in parts for w in p]
+        self.words = list(dict.fromkeys(every))
+        number = dict(zip(self.words, range(len(self.words))))
+        self.word = np.fromiter(map(number.__getitem__, every), np.int64, len(every))
+        size = np.fromiter(map(len, self.words), np.int64, len(self.words))
         self.width, self.place = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
         self.tables, self.long, low = {}, {}, 0
         for width in _WIDTHS:
             own = np.flatnonzero((size > low) & (size <= width))
             low = width
             if len(own):
-                self.width[own], self.place[own] = width, np.arange(len(own))
-                self.tables[width] = (*pieces._tables([self.words[i] for i in own], width), size[own])
+                store = pieces.stores.setdefault(width, _Store(width, min(width, pieces.longest)))
+                self.width[own], self.place[own] = width, store.places(pieces, [self.words[i] for i in own.tolist()])
+                self.tables[width] = store.arrays
         self.steps = int(max([1, *size[self.width > 0]]))
 
 
@@ -156,7 +192,11 @@ class Pieces:
         self.ascii = np.array([self.byte[i] for i in range(128)], np.int32)
         self.kept = np.array([i for i, _ in self.ids.values()], np.int32)
         self.kept_weight = np.array([w for _, w in self.ids.values()], np.float32)
+        self.by_id = np.full(n + 0x10001, self.rare, np.float64)  # log weights; from the end, of characters outside the vocabulary
+        self.by_id[self.kept] = self.kept_weight
+        self.by_id[-0x800:], self.by_id[-0x10000:-0x800], self.by_id[-0x10001] = 2 * self.rare, 3 * self.rare, 4 * self.rare
         self.hashes = np.array([self._hash(p) for p in self.ids], np.uint64)
+        self.stores: dict[int, _Store] = {}
         self.slots, rest = [], np.arange(len(self.hashes))
         for mult in (_GOLD, np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)):
             if len(rest):
@@ -191,7 +231,7 @@ class Pieces:
     def _hash(piece: str) -> int:
         h = 0
         for c in piece:
-            h = (h * int(_MULT) + ord(c)) & 0xFFFFFFFFFFFFFFFF
+            h = (h * int(_MULT) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
         return h
 
     def unfold(self, pieces: list[int]) -> list[int]:
@@ -202,69 +242,90 @@ class Pieces:
 
     def _lookup(self, h: np.ndarray) -> np.ndarray:
         """Number in self.kept of each hash, -1 if it is no piece's."""
-        out = np.full(len(h), -1, np.int32)
-        for table, mult in self.slots:
-            at = table[(h * mult) >> np.uint64(43)]
-            hit = (at >= 0) & (self.hashes[at] == h)
-            out[hit] = at[hit]
+        table, mult = self.slots[0]
+        out = table[(h * mult) >> np.uint64(43)]
+        other = np.flatnonzero((out >= 0) & (self.hashes[out] != h))  # an empty slot has turned nothing away
+        out[other] = -1
+        for table, mult in self.slots[1:]:
+            at = table[(h[other] * mult) >> np.uint64(43)]
+            hit = (at >= 0) & (self.hashes[at] == h[other])
+            out[other[hit]] = at[hit]
+            other = other[(at >= 0) & ~hit]
         return out
 
     def _tables(self, words: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For words of up to `width` characters: into each place, by length of the piece, the cumulative chance, the piece and
-        its log weight (words x places x lengths); and the log of all segmentations' mass of each word."""
+        its log weight (places x words x lengths); and the log of all segmentations' mass of each word."""
         n, most = len(words), min(width, self.longest)
-        size = np.array([len(w) for w in words])
-        chars = np.zeros((n, width), np.uint32)
-        chars[np.arange(width) < size[:, None]] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-        ids, weight = np.zeros((n, width + 1, most), np.int32), np.full((n, width + 1, most), -np.inf, np.float32)
-        h = np.zeros((n, width), np.uint64)
+        size = np.fromiter(map(len, words), np.int64, len(words))  # longest first, so that the words that reach a place come first
+        chars = np.zeros((n, width), np.uint64)
+        chars[np.arange(width) < size[:, None]] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32) + np.uint64(1)  # so that no character is zero
+        chars = np.ascontiguousarray(chars.T)
+        ids, weight = np.zeros((width + 1, n, most), np.int32), np.full((width + 1, n, most), -np.inf, np.float32)
+        reach = np.searchsorted(-size, -np.arange(width + 2), side="right")  # words of so many characters or more
+        h: list[np.ndarray] = []  # of the piece so far, by its start
         for length in range(1, most + 1):
-            h = h[:, : width - length + 1] * _MULT + chars[:, length - 1 :]
-            row, start = np.nonzero(np.arange(width - length + 1) + length <= size[:, None])
-            found = self._lookup(h[row, start])
-            if length == 1:  # characters outside the vocabulary: their bytes as one edge, unfolded later
-                lost = found < 0
-                c = chars[row[lost], start[lost]]
-                ids[row[lost], start[lost] + 1, 0] = np.where(c < 128, self.ascii[c & 127], -c.astype(np.int32) - 1)
-                weight[row[lost], start[lost] + 1, 0] = self.rare * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
-            hit = found >= 0
-            ids[row[hit], start[hit] + length, length - 1] = self.kept[found[hit]]
-            weight[row[hit], start[hit] + length, length - 1] = self.kept_weight[found[hit]]
-        mass = np.zeros((n, width + 1), np.float32)
-        share = np.zeros((n, width + 1, most), np.float32)
+            last = []
+            for end in range(length, width + 1):
+                m = reach[end]
+                if not m:
+                    break
+                own = chars[end - 1, :m] if length == 1 else h[end - length][:m] * _MULT + chars[end - 1, :m]
+                last.append(own)
+            h = last
+            if not h:
+                break
+            found = self._lookup(np.concatenate(h))
+            at = 0
+            for i, own in enumerate(h):
+                f = found[at : at + len(own)]
+                at += len(own)
+                row = np.flatnonzero(f >= 0)
+                ids[i + length, row, length - 1] = self.kept[f[row]]
+                weight[i + length, row, length - 1] = self.kept_weight[f[row]]
+                if length == 1 and len(row) < len(f):  # characters outside the vocabulary: their bytes as one edge, unfolded later
+                    lost = np.flatnonzero(f < 0)
+                    c = own[lost].astype(np.int64) - 1
+                    ids[i + 1, lost, 0] = np.where(c < 128, self.ascii[c & 127], -c - 1)
+                    weight[i + 1, lost, 0] = self.rare * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
+        mass = np.zeros((width + 1, n), np.float32)
+        share = np.full((width + 1, n, most), 2.0, np.float32)
         for j in range(1, width + 1):
-            own = np.flatnonzero(size >= j)
-            m = min(j, most)
-            v = mass[own, j - m : j][:, ::-1] + weight[own, j, :m]
-            top = v.max(axis=1, keepdims=True)
-            e = np.exp(v - top)
-            c = np.cumsum(e, axis=1)
-            mass[own, j] = top[:, 0] + np.log(c[:, -1])
-            share[own, j, :m] = c / c[:, -1:]
-            share[own, j, m:] = 2.0
-        return share, ids, weight, mass[np.arange(n), size]
+            r, m = reach[j], min(j, most)
+            if not r:
+                break
+            v = mass[j - m : j, :r][::-1].T + weight[j, :r, :m]
+            top = v.max(axis=1)
+            c = np.cumsum(np.exp(v - top[:, None]), axis=1)
+            mass[j, :r] = top + np.log(c[:, -1])
+            share[j, :r, :m] = c / c[:, -1:]
+        return share, ids, mass[size, np.arange(n)]
 
     def _draw(self, group: "_Words", tokens: np.ndarray, seeds: np.ndarray, out: np.ndarray, count: np.ndarray, logp: np.ndarray) -> None:
         """Segment each of the tokens by its word's lattice, last piece first into out, with its number of pieces and log probability."""
-        count[tokens] = 0
-        logp[tokens] = 0.0
-        for width, (share, ids, weight, mass, size) in group.tables.items():
-            t = tokens[group.width[group.word[tokens]] == width]
+        wide = group.width[group.word[tokens]]
+        for width, (share, ids, mass, size) in group.tables.items():
+            t = tokens[wide == width]
             w = group.place[group.word[t]]
-            j, step, seed = size[w].copy(), 0, seeds[t]
-            logp[t] = -mass[w]
-            while len(t):
-                u = _uniform(seed, step)
-                k = (share[w, j] <= u[:, None]).sum(axis=1)
-                k = np.minimum(k, np.minimum(j, share.shape[2]) - 1)
-                out[t, step] = ids[w, j, k]
-                logp[t] += weight[w, j, k]
-                count[t] += 1
+            rows, most = share.shape[1:]
+            share, ids = share.reshape(-1, most), ids.reshape(-1)
+            j, step, seed, total, n = size[w], 0, seeds[t], -mass[w].astype(np.float64), np.zeros(len(t), np.int64)
+            at, row = np.arange(len(t)), w
+            while len(at):
+                here = row + j * rows
+                k = np.minimum((share[here] <= np.minimum(_uniform(seed, step), 0.9999999)[:, None].astype(np.float32)).sum(axis=1), np.minimum(j, most) - 1)
+                pick = here * most + k
+                piece = ids[pick]
+                out[step, t[at]] = piece
+                total[at] += self.by_id[np.maximum(piece, -0x10001)]
+                n[at] += 1
                 j = j - k - 1
                 step += 1
-                go = j > 0
-                t, w, j, seed = t[go], w[go], j[go], seed[go]
-        for i in tokens[group.width[group.word[tokens]] == 0].tolist():  # words too long for the tables
+                go = np.flatnonzero(j > 0)
+                if len(go) < len(at):
+                    at, row, j, seed = at[go], row[go], j[go], seed[go]
+            logp[t], count[t] = total, n
+        for i in tokens[wide == 0].tolist():  # words too long for the tables
             rng = np.random.Generator(np.random.SFC64(int(seeds[i])))
             seg, lp = self.lattice(group.words[group.word[i]]).sample(rng.random, False)
             group.long[i], logp[i], count[i] = seg, lp, len(seg)
@@ -280,72 +341,76 @@ class Pieces:
         The chance of inclusion is 1 - exp(-exp(log probability - threshold)), the threshold being the (k + 1)-th value; 1 where all were emitted.
         """
         parts = [_WORD.findall(" " + t) for t in texts]
+        if not parts:
+            return []
         group = _Words(self, parts)
         total, first = len(group.word), np.cumsum([0] + [len(p) for p in parts])
-        key = np.array(seeds, np.uint64)
-        own = np.repeat(np.arange(len(texts)), np.diff(first))
+        key, number = np.array(seeds, np.uint64), np.arange(len(texts))
+        own = np.repeat(number, np.diff(first))
         place = (np.arange(total) - first[own]).astype(np.uint64)
-        heaps = [[(-float(_gumbel(_uniform(key[d : d + 1], 1 << 20))[0]), 0, 0, None, {})] for d in range(len(texts))]
-        done: list[list[tuple]] = [[] for _ in texts]
+        roots = _gumbel(_uniform(key, 1 << 20))
+        heaps = [[(-float(g), 0, 0, None, {})] for g in roots]
+        found: list[list[tuple[int, float, float]]] = [[] for _ in texts]  # of each text: turn, log probability, value
+        turns: list[tuple] = []
         for turn in range(k):
             popped = {d: heapq.heappop(h) for d, h in enumerate(heaps) if h}
-            fresh = np.zeros(total, bool)
-            for d, (_, _, at, _, _) in popped.items():
-                fresh[first[d] + at : first[d + 1]] = True
-            tokens = np.flatnonzero(fresh)
-            out, count, logp = np.zeros((total, group.steps), np.int32), np.zeros(total, np.int64), np.zeros(total)
+            at, value, extra = np.zeros(len(texts), np.int64), np.full(len(texts), -np.inf), np.zeros(total)
+            for d, node in popped.items():
+                value[d], at[d] = -node[0], node[2]
+                if node[4]:
+                    extra[first[d] + node[2]] = sum(map(math.exp, node[4].values()))
+            live = value > -np.inf
+            fresh = live[own] & (place >= at.astype(np.uint64)[own])
+            out, count, logp = np.empty((group.steps, total), np.int32), np.zeros(total, np.int64), np.zeros(total)
             group.long = {}
             seed = key[own] + (place + np.uint64(turn) * np.uint64(1 << 40) + np.uint64(1 << 60)) * _GOLD
-            self._draw(group, tokens, seed, out, count, logp)
-            noise = _gumbel(_uniform(seed, 1 << 21))
-            for d, (value, _, at, parent, barred) in popped.items():
-                a, z, value = first[d], first[d + 1], -value
-                if parent is not None:  # it agrees with the node's origin before the word
-                    p_out, p_count, p_logp, p_long = done[d][parent][:4]
-                    out[a : a + at], count[a : a + at], logp[a : a + at] = p_out[:at], p_count[:at], p_logp[:at]
-                    group.long |= {i: s for i, s in p_long.items() if i < a + at}
-                    i = a + at
-                    seg, lp = self._other(group.words[group.word[i]], barred, int(seed[i]))
-                    logp[i], count[i] = lp, len(seg)
-                    if group.width[group.word[i]]:
-                        out[i, : len(seg)] = seg[::-1]
-                        group.long.pop(i, None)
-                    else:
-                        group.long[i] = seg
-                own_logp = logp[a:z]
-                taken = np.exp(np.minimum(own_logp[at:], 0.0))
-                taken[0] += sum(math.exp(p) for p in barred.values())
-                left = 1 - taken
-                some = left > _LEAST
-                phi = np.cumsum(own_logp)[at:] - own_logp[at:] + np.log(np.where(some, left, 1.0))
-                bound = value - np.log1p(np.exp(np.minimum(value - (phi + noise[a + at : z]), 700.0)))
-                bound[~some] = -np.inf
-                number = len(done[d])
-                long = {i: s for i, s in group.long.items() if a <= i < z}
-                done[d].append((out[a:z], count[a:z].copy(), own_logp.copy(), long, value))
-                need = min(k - turn, z - a - at)
-                for t in np.argpartition(-bound, need - 1)[:need].tolist() if need else []:
-                    if bound[t] > -np.inf:
-                        bars = dict(barred) if t == 0 else {}
-                        i = a + at + t
-                        seg = long[i] if i in long else tuple(out[i, : count[i]][::-1].tolist())
-                        bars[seg] = float(own_logp[at + t])
-                        if len(bars) < self.lattice(group.words[group.word[i]]).paths:
-                            heapq.heappush(heaps[d], (-float(bound[t]), turn * total + t + 1, at + t, number, bars))
+            self._draw(group, np.flatnonzero(fresh), seed, out, count, logp)
+            for d, (_, _, w, parent, barred) in popped.items():
+                if parent is None:
+                    continue
+                a, i = first[d], first[d] + w  # it agrees with the node's origin before the word
+                p_out, p_count, p_logp, p_long = turns[parent]
+                out[:, a:i], count[a:i], logp[a:i] = p_out[:, a:i], p_count[a:i], p_logp[a:i]
+                group.long |= {j: s for j, s in p_long.items() if a <= j < i}
+                seg, lp = self._other(group.words[group.word[i]], barred, int(seed[i]))
+                logp[i], count[i] = lp, len(seg)
+                if group.width[group.word[i]]:
+                    out[: len(seg), i] = seg[::-1]
+                else:
+                    group.long[i] = seg
+            turns.append((out, count, logp, group.long))
+            cum = np.cumsum(logp)
+            base = np.concatenate([[0.0], cum])[first]
+            for d in popped:
+                found[d].append((turn, float(base[d + 1] - base[d]), float(value[d])))
+            # the sets that differ from it first at each word
+            left = 1 - np.exp(np.minimum(logp, 0.0)) - extra
+            some = fresh & (left > _LEAST)
+            phi = cum - logp - base[own] + np.log(np.where(some, left, 1.0))
+            top = np.where(live, value, 0.0)[own]
+            bound = np.where(some, top - np.log1p(np.exp(np.minimum(top - phi - _gumbel(_uniform(seed, 1 << 21)), 700.0))), -np.inf)
+            for nth in range(k - turn):
+                best = np.maximum.reduceat(bound, first[:-1])
+                places = np.flatnonzero((bound == best[own]) & (bound > -np.inf))
+                for i in places[np.concatenate([[True], np.diff(own[places]) > 0])].tolist() if len(places) else []:
+                    d = int(own[i])
+                    w = int(i - first[d])
+                    bars = dict(popped[d][4]) if w == at[d] else {}
+                    bars[group.long[i] if i in group.long else tuple(out[: count[i], i][::-1].tolist())] = float(logp[i])
+                    if (len(bars) == 1 and left[i] > 1e-3) or len(bars) < self.lattice(group.words[group.word[i]]).paths:
+                        heapq.heappush(heaps[d], (-float(bound[i]), turn * k + nth + 1, w, turn, bars))
+                    bound[i] = -np.inf
+        flat = [self._flat(t, first) for t in turns]
         result = []
-        for d, got in enumerate(done):
+        for d, got in enumerate(found):
             limit = -heaps[d][0][0] if heaps[d] else -math.inf
-            mine = []
-            for out, count, lp, long, value in got:
-                whole = float(lp.sum())
-                mine.append((self._flat(out, count, long, int(first[d])), whole, value, 1.0 if limit == -math.inf else -math.expm1(-math.exp(min(700.0, whole - limit)))))
-            result.append(mine)
+            result.append([(flat[turn][d], whole, v, 1.0 if limit == -math.inf else -math.expm1(-math.exp(min(700.0, whole - limit)))) for turn, whole, v in got])
         return result
 
     def _other(self, word: str, barred: dict, seed: int) -> tuple[tuple[int, ...], float]:
         """A segmentation of a word by its probability among those not barred."""
         lattice = self.lattice(word)
-        if lattice.paths <= 256:
+        if lattice.paths <= 64:
             segs = [s for s in lattice.every() if s[0] not in barred]
             p = np.exp([lp for _, lp in segs])
             return segs[min(int((np.cumsum(p) / p.sum() <= _uniform(np.array([seed], np.uint64), 1 << 22)[0]).sum()), len(segs) - 1)]
@@ -355,18 +420,23 @@ class Pieces:
             if seg not in barred:
                 return seg, lp
 
-    def _flat(self, out: np.ndarray, count: np.ndarray, long: dict, first: int) -> np.ndarray:
-        """One text's ids in order, characters outside the vocabulary as their bytes'."""
-        if long:
-            ids = [x for t in range(len(count)) for x in (long[first + t] if first + t in long else out[t, : count[t]][::-1].tolist())]
-            return np.array(self.unfold(ids), np.int32)
-        back = out[:, : int(count.max())][:, ::-1]
-        flat = back[np.arange(back.shape[1]) >= back.shape[1] - count[:, None]]
-        return np.array(self.unfold(flat.tolist()), np.int32) if len(flat) and flat.min() < 0 else flat
+    def _flat(self, turn: tuple, first: np.ndarray) -> list[np.ndarray]:
+        """Each text's ids in order, characters outside the vocabulary as their bytes'."""
+        out, count, _, long = turn
+        most = int(count[[i for i in range(len(count)) if i not in long]].max(initial=1)) if long else int(count.max(initial=1))
+        short = count.copy()
+        short[list(long)] = 0
+        back = out[:most].T[:, ::-1]
+        ids = back[np.arange(most) >= most - short[:, None]]
+        ends = np.concatenate([[0], np.cumsum(short)])
+        flat = [ids[ends[a] : ends[b]] for a, b in zip(first[:-1], first[1:])]
+        for d in sorted({int(np.searchsorted(first, i, side="right")) - 1 for i in long}):
+            flat[d] = np.array([x for t in range(first[d], first[d + 1]) for x in (long[t] if t in long else ids[ends[t] : ends[t + 1]].tolist())], np.int32)
+        return [np.array(self.unfold(f.tolist()), np.int32) if len(f) and f.min() < 0 else f for f in flat]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: what sample() was given, for each of its segmentations."""
-        return b"".join([self.text[i] for i in ids])[1:].decode("utf-8", "surrogatepass")
+        return b"".join(map(self.text.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
 
 
 _loaded: dict[tuple[int, float], Pieces] = {}
@@ -385,11 +455,11 @@ def _model(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, samples: int = SAMPLES, alpha: float = ALPHA) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, samples: int = SAMPLES, alpha: float = ALPHA, verify: bool = False) -> DataFrame:
     """docs' id (as string key) with `samples`, an array of (pieces, log_prob, perturbed, inclusion), and `exact`, for each row.
 
     Segmentations are distinct, the greatest perturbed value first, and seeded by the row's id alone: the same id and text
-    give the same samples in any layout. `exact` tells that each decodes to the whole text. An empty text is one space's
+    give the same samples in any layout. With `verify`, `exact` tells that each decodes to the whole text (null without). An empty text is one space's
     piece; a null text has no samples and `exact` null. Rows of a null id are seeded as the id of no characters; rows that repeat
     an id are sampled alike. Words of one segmentation give fewer samples than asked for. No rows give no rows.
     """
@@ -413,7 +483,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                 inner = pa.StructArray.from_arrays([flat, *(pa.array([x[f] for x in rows], pa.float64()) for f in (1, 2, 3))], ["pieces", "log_prob", "perturbed", "inclusion"])
                 ends = np.cumsum([0] + [len(got.get(i, [])) for i in range(len(texts))])
                 nulls = [None if texts[i] is None else int(ends[i]) for i in range(len(texts))] + [int(ends[-1])]
-                exact = [all(pieces.decode(x[0].tolist()) == t for x in got[i]) if t is not None else None for i, t in enumerate(texts)]
+                exact = [all(pieces.decode(x[0].tolist()) == t for x in got[i]) if verify and t is not None else None for i, t in enumerate(texts)]
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.ListArray.from_arrays(pa.array(nulls, pa.int32()), inner), pa.array(exact, pa.bool_())], ["key", "samples", "exact"])
 
     schema = "key string, samples array<struct<pieces:array<int>,log_prob:double,perturbed:double,inclusion:double>>, exact boolean"
