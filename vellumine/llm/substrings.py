@@ -21,9 +21,9 @@ from vellumine.llm.common import table
 
 WINDOW, KMER = 400, 128
 #: Bytes taken at once; a longer text goes in pieces that overlap by a window. Bits of a place in them.
-PIECE, BITS = 1 << 21, 22
+PIECE, BITS = 1 << 19, 22
 #: Runs of a bucket that are resolved together in one task; in greater buckets each window goes by its own hash.
-TOGETHER = 4096
+TOGETHER = 256
 
 _RNG = np.random.default_rng(20)
 _TABLE = _RNG.integers(0, 1 << 64, 256, dtype=np.uint64)
