@@ -261,7 +261,7 @@ class Pieces:
         chars = np.zeros((n, width), np.uint64)
         chars[np.arange(width) < size[:, None]] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32) + np.uint64(1)  # so that no character is zero
         chars = np.ascontiguousarray(chars.T)
-        ids, weight = np.zeros((width + 1, n, most), np.int32), np.full((width + 1, n, most), -np.inf, np.float32)
+        ids, weight = np.zeros((width + 1, n, most), np.int32), np.full((width + 1, most, n), -np.inf, np.float32)
         reach = np.searchsorted(-size, -np.arange(width + 2), side="right")  # words of so many characters or more
         h: list[np.ndarray] = []  # of the piece so far, by its start
         for length in range(1, most + 1):
@@ -282,23 +282,24 @@ class Pieces:
                 at += len(own)
                 row = np.flatnonzero(f >= 0)
                 ids[i + length, row, length - 1] = self.kept[f[row]]
-                weight[i + length, row, length - 1] = self.kept_weight[f[row]]
+                weight[i + length, length - 1, row] = self.kept_weight[f[row]]
                 if length == 1 and len(row) < len(f):  # characters outside the vocabulary: their bytes as one edge, unfolded later
                     lost = np.flatnonzero(f < 0)
                     c = own[lost].astype(np.int64) - 1
                     ids[i + 1, lost, 0] = np.where(c < 128, self.ascii[c & 127], -c - 1)
-                    weight[i + 1, lost, 0] = self.rare * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
+                    weight[i + 1, 0, lost] = self.rare * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
         mass = np.zeros((width + 1, n), np.float32)
         share = np.full((width + 1, n, most), 2.0, np.float32)
         for j in range(1, width + 1):
             r, m = reach[j], min(j, most)
             if not r:
                 break
-            v = mass[j - m : j, :r][::-1].T + weight[j, :r, :m]
-            top = v.max(axis=1)
-            c = np.cumsum(np.exp(v - top[:, None]), axis=1)
-            mass[j, :r] = top + np.log(c[:, -1])
-            share[j, :r, :m] = c / c[:, -1:]
+            v = mass[j - m : j, :r][::-1] + weight[j, :m, :r]
+            top = v.max(axis=0)
+            v -= top
+            c = np.cumsum(np.exp(v, out=v), axis=0)
+            mass[j, :r] = top + np.log(c[-1])
+            share[j, :r, :m] = (c / c[-1]).T
         return share, ids, mass[size, np.arange(n)]
 
     def _draw(self, group: "_Words", tokens: np.ndarray, seeds: np.ndarray, out: np.ndarray, count: np.ndarray, logp: np.ndarray) -> None:
@@ -313,7 +314,8 @@ class Pieces:
             at, row = np.arange(len(t)), w
             while len(at):
                 here = row + j * rows
-                k = np.minimum((share[here] <= np.minimum(_uniform(seed, step), 0.9999999)[:, None].astype(np.float32)).sum(axis=1), np.minimum(j, most) - 1)
+                passed = share[here] <= np.minimum(_uniform(seed, step), 0.9999999)[:, None].astype(np.float32)
+                k = np.minimum(np.einsum("ij->i", passed.view(np.uint8)).astype(np.int64), np.minimum(j, most) - 1)
                 pick = here * most + k
                 piece = ids[pick]
                 out[step, t[at]] = piece
