@@ -27,7 +27,7 @@ SEED_Z, SEED_ODDS, STEPS, ON = 5.0, 5.0, 8, 0.5
 TRAIN_ROWS = 4000
 _WORD = re.compile(r"[^\W\d_]+")
 #: Distinct word pairs that a task holds before it hands them on; of words, a quarter.
-_HELD = 1 << 20
+_HELD = 3 << 19
 
 
 def tokens(text: str | None) -> list[str]:
@@ -79,11 +79,11 @@ def _pair_counts(docs: DataFrame, index: dict[str, int]) -> DataFrame:
                 ok = (s[:-1] >= 0) & (s[1:] >= 0) & (s[:-1] != s[1:])
                 x, y = s[:-1][ok], s[1:][ok]
                 held.append(np.unique(np.minimum(x, y) * v + np.maximum(x, y), return_counts=True))
-            if sum(len(c) for c, _ in held) > _HELD:
-                held = [merged()]
-                if len(held[0][0]) > _HELD // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1])], ["code", "n"])
-                    held = []
+                if sum(len(c) for c, _ in held) > _HELD:
+                    held = [merged()]
+                    if len(held[0][0]) > _HELD // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1])], ["code", "n"])
+                        held = []
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], ["code", "n"])
 
