@@ -87,6 +87,8 @@ class _Lattice:
         return tuple(reversed(out)), total - mass[-1]
 
 
+#: What is left of a 64-bit hash is a place in a table of 2^18.
+_SHIFT = np.uint64(46)
 _MULT, _GOLD = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0x9E3779B97F4A7C15)
 #: A set of segmentations of a share of its word's mass under this is taken as empty (single precision ends there).
 _LEAST = 1e-6
@@ -200,7 +202,7 @@ class Pieces:
         self.slots, rest = [], np.arange(len(self.hashes))
         for mult in (_GOLD, np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)):
             if len(rest):
-                table, slot = np.full(1 << 21, -1, np.int32), (self.hashes[rest] * mult) >> np.uint64(43)
+                table, slot = np.full(1 << 18, -1, np.int32), (self.hashes[rest] * mult) >> _SHIFT
                 table[slot[::-1]] = rest[::-1]
                 self.slots.append((table, mult))
                 rest = rest[table[slot] != rest]
@@ -243,11 +245,12 @@ class Pieces:
     def _lookup(self, h: np.ndarray) -> np.ndarray:
         """Number in self.kept of each hash, -1 if it is no piece's."""
         table, mult = self.slots[0]
-        out = table[(h * mult) >> np.uint64(43)]
-        other = np.flatnonzero((out >= 0) & (self.hashes[out] != h))  # an empty slot has turned nothing away
+        out = table[(h * mult) >> _SHIFT]
+        taken = np.flatnonzero(out >= 0)  # an empty slot has turned nothing away
+        other = taken[self.hashes[out[taken]] != h[taken]]
         out[other] = -1
         for table, mult in self.slots[1:]:
-            at = table[(h[other] * mult) >> np.uint64(43)]
+            at = table[(h[other] * mult) >> _SHIFT]
             hit = (at >= 0) & (self.hashes[at] == h[other])
             out[other[hit]] = at[hit]
             other = other[(at >= 0) & ~hit]
@@ -425,12 +428,14 @@ class Pieces:
     def _flat(self, turn: tuple, first: np.ndarray) -> list[np.ndarray]:
         """Each text's ids in order, characters outside the vocabulary as their bytes'."""
         out, count, _, long = turn
-        most = int(count[[i for i in range(len(count)) if i not in long]].max(initial=1)) if long else int(count.max(initial=1))
         short = count.copy()
         short[list(long)] = 0
-        back = out[:most].T[:, ::-1]
-        ids = back[np.arange(most) >= most - short[:, None]]
+        most = int(short.max(initial=1))
         ends = np.concatenate([[0], np.cumsum(short)])
+        ids, left = np.empty(ends[-1], np.int32), np.flatnonzero(short)
+        for step in range(most):  # the last piece was drawn first
+            ids[ends[left + 1] - 1 - step] = out[step, left]
+            left = left[short[left] > step + 1]
         flat = [ids[ends[a] : ends[b]] for a, b in zip(first[:-1], first[1:])]
         for d in sorted({int(np.searchsorted(first, i, side="right")) - 1 for i in long}):
             flat[d] = np.array([x for t in range(first[d], first[d + 1]) for x in (long[t] if t in long else ids[ends[t] : ends[t + 1]].tolist())], np.int32)
