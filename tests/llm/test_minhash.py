@@ -1,0 +1,43 @@
+import random
+
+import corpus_pipeline as cp
+from test_simhash import classes
+from vellumine.llm import minhash
+
+
+def grams(text):
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def alike(a, b):
+    return len(a & b) >= 0.8 * len(a | b) - 1e-9 if a or b else True
+
+
+def rows():
+    rng, out = random.Random(8), []
+    for g in range(60):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([4, 40, 200, 1500]))]
+        for _ in range(rng.randrange(1, 5)):
+            edited = [f"x{rng.randrange(5000)}" if rng.random() < rng.choice([0, 0.01, 0.03, 0.06]) else w for w in base]
+            out.append(" ".join(edited))
+    return list(enumerate([*out, None, "", " \n"]))
+
+
+def test_against_brute_force(spark):
+    own = rows()
+    got = {r.id: r.component for r in minhash.near_copies(spark.createDataFrame(own, "doc_id long, text string")).collect()}
+    held = {i: grams(t) for i, t in own}
+    want = classes([(a, b) for a in held for b in held if a < b and alike(held[a], held[b])], list(held))
+    assert got == want and len(set(want.values())) < len(own) - 30
+
+
+def test_stage_drops_copies_with_edited_words(spark):
+    words = [f"word{i}" for i in range(400)]
+    edited = [w if i % 100 else "other" for i, w in enumerate(words)]
+    docs = spark.createDataFrame([(3, " ".join(words)), (5, " ".join(edited)), (7, " ".join(words[::-1])), (None, " ".join(words))], "doc_id long, text string")
+    assert sorted(r.doc_id or 0 for r in cp.drop_copies(spark, docs, "").collect()) == [0, 3, 7]
+
+
+def test_no_rows(spark):
+    assert minhash.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -1,0 +1,120 @@
+"""Near copies by the Jaccard similarity of word shingles: MinHash bands find candidates, whole shingle sets decide."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from vellumine.llm.common import small, table
+from vellumine.llm.components import components
+
+#: Words of a shingle; least similarity of near copies. A pair at that line shares none of the bands with a chance of
+#: (1 - 0.8^WIDTH)^BANDS, 3 in a million; more alike pairs are missed less.
+SHINGLE, JACCARD, BANDS, WIDTH = 5, 0.8, 24, 4
+_hash = partial(xxhash.xxh64_intdigest, seed=43)
+_rng = np.random.default_rng(11)
+_PLACE = _rng.integers(0, 1 << 63, 16, np.uint64) * np.uint64(2) + np.uint64(1)
+_A = (_rng.integers(0, 1 << 63, (BANDS * WIDTH, 1), np.uint64) * np.uint64(2)) + np.uint64(1)
+_B = _rng.integers(0, 1 << 63, (BANDS * WIDTH, 1), np.uint64)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Shingles whose hashes are permuted at once.
+_SLICE = 1024
+
+
+def shingles(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the runs of `size` words (split as simhash does); fewer words are one shingle, none give none."""
+    w = text.lower().split() if text else []
+    if not w:
+        return np.zeros(0, np.uint64)
+    h, k = np.fromiter(map(_hash, w), np.uint64, len(w)), min(size, len(w))
+    out = np.full(len(w) - k + 1, k, np.uint64)
+    for i in range(k):
+        out += h[i : i + len(out)] * _PLACE[i]
+    out ^= out >> np.uint64(31)
+    out *= _MIX
+    return np.unique(out ^ (out >> np.uint64(29)))
+
+
+def bands(s: np.ndarray) -> np.ndarray:
+    """A hash for each band of WIDTH least permuted hashes, the band's number in it."""
+    low = np.full(BANDS * WIDTH, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(s), _SLICE):
+        low = np.minimum(low, (_A * s[at : at + _SLICE] + _B).min(axis=1))
+    out = np.arange(BANDS, dtype=np.uint64)
+    for column in low.reshape(BANDS, WIDTH).T:
+        out = (out ^ column) * _MIX
+        out ^= out >> np.uint64(32)
+    return out
+
+
+def _long(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def _signed(docs: DataFrame, whole: bool, size: int) -> DataFrame:
+    """docs (id, t binary) -> (id, key, of): a hash of the shingle set, and its bands or, if `whole`, the set itself; none of no words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                sets = [shingles(t.as_py(), size) for t in part.column(1)]
+                key = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64)
+                of = sets if whole else [bands(s) if len(s) else s for s in sets]
+                ends = pa.array(np.cumsum([0, *map(len, of)]), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), _long(key), pa.ListArray.from_arrays(ends, _long(np.concatenate(of)))], ["id", "key", "of"])
+
+    return docs.mapInArrow(run, "id long, key long, of array<long>")
+
+
+def _bucket_links(pdf: pd.DataFrame, jaccard: float) -> pd.DataFrame:
+    """Links of the bucket's pairs of at least the similarity, thinned to a forest: pairs already connected aren't compared."""
+    pdf = pdf.sort_values("rep", kind="stable")
+    rep, sets = pdf["rep"].tolist(), list(pdf["of"])
+    size = np.array([len(s) for s in sets])
+    first = np.cumsum(size) - size
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark, comp, out = np.zeros(codes.max(initial=0) + 1, bool), np.arange(len(rep)), []
+    for i in range(len(rep) - 1):
+        j = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
+        j = j[np.minimum(size[j], size[i]) >= jaccard * np.maximum(size[j], size[i]) - 1e-9]
+        if not len(j):
+            continue
+        n = size[j]
+        start = np.cumsum(n) - n
+        mark[codes[first[i] : first[i] + size[i]]] = True
+        shared = np.add.reduceat(mark[codes[np.repeat(first[j] - start, n) + np.arange(n.sum())]], start, dtype=np.int64)
+        mark[codes[first[i] : first[i] + size[i]]] = False
+        for k in j[shared >= jaccard * (size[i] + n - shared) - 1e-9].tolist():
+            if comp[k] != comp[i]:
+                out.append((rep[i], rep[k]))
+                comp[comp == comp[k]] = comp[i]
+    return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", jaccard: float = JACCARD, size: int = SHINGLE) -> DataFrame:
+    """(id, component) of each row: component is the least id reachable over pairs whose shingle sets are that similar.
+
+    Equal sets are one member of a bucket, and buckets of the same members are one bucket. Texts without words are copies
+    of each other. Rows of a null id are kept but link nothing; rows that repeat an id are one node. No rows give no rows.
+    """
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
+    sig = table(_signed(own, False, size), "minhash")
+    groups = table(sig.groupBy("key").agg(F.min("id").alias("rep"), F.first("of").alias("of")), "groups")
+    members = groups.where("rep is not null").select("rep", "key", F.explode("of").alias("bucket"))
+    several = members.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("who")).where("n > 1")
+    chosen = several.groupBy("n", "who").agg(F.min("bucket").alias("bucket")).select("bucket")
+    kept = table(members.join(small(table(chosen, "buckets")), "bucket"), "members")
+    picked = own.where("id is not null").join(small(kept.select(F.col("rep").alias("id")).distinct()), "id", "left_semi")
+    sets = _signed(picked, True, size).withColumnRenamed("id", "rep")
+    links = kept.join(sets, ["rep", "key"]).select("bucket", "rep", "of").groupBy("bucket").applyInPandas(lambda pdf: _bucket_links(pdf, jaccard), "u long, v long")
+    named = components(links)
+    label = groups.join(named, groups["rep"] == named["node"], "left").select("key", F.coalesce("component", "rep").alias("component"))
+    return sig.join(label, "key").select("id", "component")
