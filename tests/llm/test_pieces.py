@@ -85,3 +85,15 @@ def test_rows(spark):
     back = P.decode(out.select("key", F.explode("samples.pieces").alias("pieces"))).collect()
     assert {(r.key, r.decoded) for r in back} == {("1", "a text"), (None, "no id"), ("3", "")}
     assert P.encode(df.limit(0)).count() == 0
+
+
+def test_texts_that_do_not_round_trip_are_told(spark, monkeypatch):
+    import corpus_pipeline as cp
+    from vellumine.llm import queries
+
+    out = queries.op5_pieces(spark, "/root/testdata/sf0.001")
+    assert out.columns == ["doc_id", "samples", "exact"] and out.where("exact").count() == out.where("samples is not null").count() > 0
+    wrong = P.encode(spark.createDataFrame([(1, "a text")], "doc_id long, text string")).selectExpr("key", "samples", "false as exact")
+    monkeypatch.setattr(cp.pieces, "encode", lambda docs: wrong)
+    with pytest.raises(Exception, match="don't decode to the text of document 1"):
+        cp.encode(spark, None, "").collect()

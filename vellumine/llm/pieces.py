@@ -462,11 +462,11 @@ def _model(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, samples: int = SAMPLES, alpha: float = ALPHA, verify: bool = False) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, samples: int = SAMPLES, alpha: float = ALPHA, verify: bool = True) -> DataFrame:
     """docs' id (as string key) with `samples`, an array of (pieces, log_prob, perturbed, inclusion), and `exact`, for each row.
 
     Segmentations are distinct, the greatest perturbed value first, and seeded by the row's id alone: the same id and text
-    give the same samples in any layout. With `verify`, `exact` tells that each decodes to the whole text (null without). An empty text is one space's
+    give the same samples in any layout. `exact` tells that each decodes to the whole text (null with `verify` off). An empty text is one space's
     piece; a null text has no samples and `exact` null. Rows of a null id are seeded as the id of no characters; rows that repeat
     an id are sampled alike. Words of one segmentation give fewer samples than asked for. No rows give no rows.
     """
