@@ -97,3 +97,16 @@ def test_thin_is_bounded_and_keeps_all_when_few(spark):
     n = {r.k: r["count"] for r in labelled.thin(df, "id", 1000, F.col("k")).groupBy("k").count().collect()}
     assert all(850 < x < 1150 for x in n.values())
     assert labelled.thin(df.limit(50), "id", 1000).count() == 50
+
+
+def test_rare_words_with_evidence_are_nodes(spark):
+    plain = [(f"calm words of a plain text number{i % 7} here", 0 if i % 2 else None) for i in range(20_000)]
+    toxic = [(f"calm words of a plain text zorgle number{i % 7}", 1) for i in range(15)] + [("calm words of a plain grumpf text", 1) for _ in range(300)]
+    docs = spark.createDataFrame(plain + toxic, "t string, label int")
+    polarity, seeds = toxicity.induce(docs)  # zorgle is in 15 of 20,315 documents, all toxic
+    assert polarity["zorgle"] > 0 > polarity["calm"] and seeds >= 2
+
+
+def test_pairs_of_all_counts_are_taken(spark):
+    pairs = toxicity._pair_counts(spark.createDataFrame([("a b",), ("c d c",)], "t string"), {w: i for i, w in enumerate("abcd")})
+    assert {(r.i, r.j): r.n for r in pairs.collect()} == {(0, 1): 1, (1, 0): 1, (2, 3): 2, (3, 2): 2}

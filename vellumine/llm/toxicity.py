@@ -16,11 +16,9 @@ from pyspark.sql import functions as F
 from vellumine.llm.common import small, table
 from vellumine.llm.labelled import labels_of, thin
 
-#: A word is a node if it is in this share of the documents and in LEAST of them. The share bounds the nodes: there are
-#: at most (mean distinct words of a document) / SHARE, whatever the number of documents.
-SHARE, LEAST = 0.001, 10
-#: Times that two words have to be next to each other to be linked: fewer say nothing of their mutual information.
-PAIRS = 3
+#: A word is a node if it is in this share of the documents and in LEAST of them, or if the labels speak of it whatever its
+#: share: it is in LEAST labelled documents and the signed root of its log-likelihood ratio is at least EVIDENCE, either way.
+SHARE, LEAST, EVIDENCE = 0.001, 10, 2.5
 #: Seeds: signed root of the log-likelihood ratio and odds ratio, at least; steps of the walk and the chance to go on.
 SEED_Z, SEED_ODDS, STEPS, ON = 5.0, 5.0, 8, 0.5
 #: Labelled documents of each label, at most, on whose lexicon figures the last weights are fitted.
@@ -59,7 +57,7 @@ def _document_counts(docs: DataFrame) -> DataFrame:
 
 
 def _pair_counts(docs: DataFrame, index: dict[str, int]) -> DataFrame:
-    """docs (t) -> (i, j, n): how often node j is next to node i, either way, from PAIRS times on; each task sums its own pairs first."""
+    """docs (t) -> (i, j, n): how often node j is next to node i, either way; each task sums its own pairs first."""
     v = len(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +86,7 @@ def _pair_counts(docs: DataFrame, index: dict[str, int]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], ["code", "n"])
 
     sums = docs.select("t").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    sums = table(sums.where(F.col("n") >= PAIRS), "pairs")
+    sums = table(sums, "pairs")
     one = sums.select(F.expr(f"cast(code div {v} as int)").alias("i"), F.expr(f"cast(code % {v} as int)").alias("j"), "n")
     return one.unionByName(one.select(F.col("j").alias("i"), F.col("i").alias("j"), "n"))
 
@@ -160,13 +158,22 @@ def _root_g2(a: np.ndarray, b: np.ndarray, na: float, nb: float) -> np.ndarray:
     return np.sign(a / na - b / nb) * np.sqrt(np.maximum(g, 0))
 
 
+def _evident(toxic: float, clean: float) -> Column:
+    """Whether (toxic, clean) labelled documents of a word, of so many in all, are LEAST and tell the labels apart: _root_g2 in SQL."""
+    a, b, na, nb = F.col("toxic").cast("double"), F.col("clean").cast("double"), float(toxic), float(clean)
+    term = lambda k, e: F.when(k > 0, k * F.log(k / e)).otherwise(0.0)
+    share = (a + b) / (na + nb)
+    g = 2 * (term(a, na * share) + term(na - a, na * (1 - share)) + term(b, nb * share) + term(nb - b, nb * (1 - share)))
+    return (a + b >= LEAST) & (g >= EVIDENCE**2)
+
+
 def induce(docs: DataFrame) -> tuple[dict[str, float], int]:
     """docs (t, label null or 0/1) -> polarity of each node word, and the number of toxic seeds."""
-    least = max(LEAST, SHARE * docs.count())
-    kept = {r.word: r for r in _document_counts(docs).where((F.col("n") >= least) | (F.col("word") == "")).collect()}
-    top = kept.pop("", None)
-    if top is None or not top.toxic or not top.clean:
+    top = docs.agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("clean")).first()
+    if not top.toxic or not top.clean:
         return {}, 0
+    node = (F.col("n") >= max(LEAST, SHARE * top.n)) | _evident(top.toxic, top.clean)
+    kept = {r.word: r for r in _document_counts(docs).where(node & (F.col("word") != "")).collect()}
     kept = [kept[w] for w in sorted(kept)]
     words = [r.word for r in kept]
     a, b = np.array([r.toxic for r in kept], float), np.array([r.clean for r in kept], float)
