@@ -104,9 +104,17 @@ def test_rare_words_with_evidence_are_nodes(spark):
     toxic = [(f"calm words of a plain text zorgle number{i % 7}", 1) for i in range(15)] + [("calm words of a plain grumpf text", 1) for _ in range(300)]
     docs = spark.createDataFrame(plain + toxic, "t string, label int")
     polarity, seeds = toxicity.induce(docs)  # zorgle is in 15 of 20,315 documents, all toxic
-    assert polarity["zorgle"] > 0 > polarity["calm"] and seeds >= 2
+    assert polarity["zorgle"] > polarity["calm"] + 0.1 and seeds >= 2
 
 
 def test_pairs_of_all_counts_are_taken(spark):
     pairs = toxicity._pair_counts(spark.createDataFrame([("a b",), ("c d c",)], "t string"), {w: i for i, w in enumerate("abcd")})
     assert {(r.i, r.j): r.n for r in pairs.collect()} == {(0, 1): 1, (1, 0): 1, (2, 3): 2, (3, 2): 2}
+
+
+def test_scores_mean_the_same_when_labels_are_sampled(spark):
+    docs = spark.createDataFrame([(i, "same words for all of them") for i in range(4000)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 10 == 0).cast("int").alias("quality"))  # the text tells nothing: the chance is 0.1
+    whole, few = (quality.classify(docs, labels, "quality", F.lit(True), rows=n).first().score for n in (4000, 300))
+    assert abs(whole - 0.1) < 0.06 and abs(few - 0.1) < 0.06
+    assert labelled.rates(labels, 200, F.col("quality")) == {0: 200 / 3600, 1: 0.5} and abs(labelled.prior_shift({0: 0.25, 1: 1.0}) + np.log(4)) < 1e-9

@@ -159,11 +159,13 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str, keep: Column, i
     """(id, score): the probability that a document has label 1, for each row of docs.
 
     The network is fitted on the driver on at most about 2 x `rows` labelled documents of up to 64 KiB for which `keep`
-    (a condition on the labels' columns) holds, drawn by a hash of the id; scores cover every byte of every text.
+    (a condition on the labels' columns) holds, drawn by a hash of the id, its scores then shifted to the labels' shares among all of them; scores cover every byte of every text.
     With no label or but one kind of label each score is 0.5. Null texts are scored as empty ones. Rows that repeat an id
     or have a null id are scored like any other; labels of null ids or other than 0 and 1 are left out. No rows give no rows.
     """
-    model, known = fit(sample(docs, labels, label_col, keep, rows, TRAIN_BYTES, id_col, text_col))
+    rows_of, shift = sample(docs, labels, label_col, keep, rows, TRAIN_BYTES, id_col, text_col)
+    model, known = fit(rows_of)
+    model.out += np.float32(shift)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

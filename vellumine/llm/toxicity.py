@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumine.llm.common import small, table
-from vellumine.llm.labelled import labels_of, thin
+from vellumine.llm.labelled import labels_of, prior_shift, rates, thin
 
 #: A word is a node if it is in this share of the documents and in LEAST of them, or if the labels speak of it whatever its
 #: share: it is in LEAST labelled documents and the signed root of its log-likelihood ratio is at least EVIDENCE, either way.
@@ -200,7 +200,7 @@ def scorer(docs: DataFrame, labels: DataFrame, label_col: str, keep: Column, id_
     """A function from a text column to the probability that a text is toxic.
 
     All documents give the word graph; labels for which `keep` (a condition on the labels' columns) holds give seeds and, on
-    about `rows` documents of each label drawn by a hash of the id, the weights of the lexicon's figures of a text. With no
+    about `rows` documents of each label drawn by a hash of the id, the weights of the lexicon's figures of a text, the intercept for the labels' shares among all of them. With no
     label, one kind of label or no seed, each score is the share of toxic labels (0 without any) and the graph isn't built.
     Null and empty texts score as texts without a word of the lexicon. Labels of null ids or other than 0 and 1 are left out;
     rows that repeat an id or have a null id count like any other.
@@ -212,7 +212,8 @@ def scorer(docs: DataFrame, labels: DataFrame, label_col: str, keep: Column, id_
     prior = float(known.agg(F.avg("__label")).first()[0] or 0.0)
     if not polarity:
         return lambda text: F.lit(prior)
-    picked = F.broadcast(thin(known, "__id", rows, F.col("__label")))  # twice `rows` and a few
+    shares = rates(known, rows, F.col("__label"))
+    picked = F.broadcast(thin(known, "__id", rows, F.col("__label"), shares))  # twice `rows` and a few
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -226,6 +227,7 @@ def scorer(docs: DataFrame, labels: DataFrame, label_col: str, keep: Column, id_
         return lambda text: F.lit(prior)
     centre, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
     lexicon = Lexicon(polarity, _logistic((x - centre) / scale, y), centre, scale)
+    lexicon.weights[0] += prior_shift(shares)
 
     @F.pandas_udf("double")
     def probability(text: pd.Series) -> pd.Series:
