@@ -48,3 +48,18 @@ def test_phi_and_no_rows(spark):
     assert all(abs(p - NormalDist().cdf(z)) < 1e-6 for p, z in zip(got, zs))
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert secrets.report(secrets.scan(empty)).count() == 0
+
+
+def test_values_after_equals_signs_and_tokens_without_digits(spark):
+    rng = random.Random(6)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    make = lambda chars, n=40: "".join(rng.choice(chars) for _ in range(n))
+    assigned = [how % make(letters + "0123456789") for how in ("DB_AUTH=%s", "export SIGNING_KEY=%s ", "see http://host/p?sig=%s&x=1", "a=%s==") for _ in range(10)]
+    plain = ["x " + make(letters) + " y" for _ in range(20)]
+    names = ["call getUserAccountSettingsManagerInternalConfigurationHandler now", "in ApplicationContextInitializationExceptionHandlerFactory"] * 10
+    rows = list(enumerate(assigned + plain + names))
+    out = {r.doc_id: r for r in secrets.report(secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert sum(out[i].n_random for i in range(40)) >= 32 and sum(out[i].n_random for i in range(40, 60)) >= 14
+    assert sum(out[i].n_random for i in range(60, 80)) == 0
+    first = next(out[i] for i in range(10) if out[i].n_random)
+    assert first.spans == "random:8:48"

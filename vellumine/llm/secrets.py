@@ -14,15 +14,16 @@ BASE = {
     "access": (r"AKIA[A-Z0-9]+", 0, 16),
     "hex": (r"[0-9a-f]{32,}", 0, 32),  # what + takes and 32 drops is the same: maximal runs
 }
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+#: "=" only pads: what follows one is a token of its own.
+TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 #: encoding -> (pattern, size of its alphabet, index of coincidence of unrandom strings written in it), the narrowest first.
 ENCODINGS = {
     "decimal": (r"^[0-9]+$", 10, 0.16),
     "hex": (r"^(?=.*[0-9])(?=.*[A-Fa-f])(?:[0-9a-f]+|[0-9A-F]+)$", 16, 0.12),
     "base32": (r"^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+=*$", 32, 0.075),
     "base36": (r"^(?=.*[0-9])(?=.*[A-Za-z])(?:[0-9a-z]+|[0-9A-Z]+)$", 36, 0.07),
-    "base62": (r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[0-9A-Za-z]+$", 62, 0.06),
-    "base64": (r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[0-9A-Za-z+/_-]+=*$", 64, 0.06),
+    "base62": (r"^(?=.*[A-Z])(?=.*[a-z])[0-9A-Za-z]+$", 62, 0.06),
+    "base64": (r"^(?=.*[A-Z])(?=.*[a-z])[0-9A-Za-z+/_-]+=*$", 64, 0.06),
 }
 #: Rate of false discoveries; level at which runs and serial correlation speak against randomness; bins a power of two.
 FDR, LEVEL, BINS = 0.01, 0.001, 4
