@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,10 +13,15 @@ from vellumine.functions.vectors import cosine, dot
 QUERY_ROWS = 10_000
 
 
-def _small_side(queries: DataFrame, rows: int = QUERY_ROWS) -> DataFrame:
-    if queries.limit(rows + 1).count() > rows:
-        raise ValueError(f"search takes up to {rows} questions at a time; split the batch")
-    return F.broadcast(queries)
+def _blocks(queries: DataFrame, rows: int | None = None) -> list[DataFrame]:
+    """queries, or where there are more than `rows`, about equal blocks by a hash of query_id, so that rows of one id stay together."""
+    rows = QUERY_ROWS if rows is None else rows
+    n = queries.count()
+    if n <= rows:
+        return [queries]
+    blocks = -(-2 * n // rows)  # half full, as their sizes vary
+    number = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    return [queries.where(number == i) for i in range(blocks)]
 
 
 def top_k(scored: DataFrame, k: int, by: str = "query_id", score: str = "score", tie: str = "chunk_id", rank: str = "rank") -> DataFrame:
@@ -23,17 +30,22 @@ def top_k(scored: DataFrame, k: int, by: str = "query_id", score: str = "score",
     return scored.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def dense(queries: DataFrame, points: DataFrame, k: int = 10, condition: Column | None = None, normalised: bool = False) -> DataFrame:
+def dense(queries: DataFrame, points: DataFrame, k: int = 10, condition: Column | None = None, normalised: bool = False, allowed: Column | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank): the nearest points by cosine that meet the condition.
 
-    A stated batch of questions is held against all points: the batch goes to every task (its size is checked), points
-    don't move, and each task keeps its own k best of a question before the shuffle.
+    Questions are held against all points in blocks of a stated size: a block goes to every task, points don't move, and each
+    task keeps its own k best of a question before the shuffle. `allowed` is a condition on pairs, over the questions' columns
+    as q.* and the points' as p.*; it holds before the k best are taken.
     """
-    q = _small_side(queries.select("query_id", F.col("vector").alias("q_vector")))
-    score = dot(F.col("q_vector"), F.col("vector")) if normalised else cosine(F.col("q_vector"), F.col("vector"))
-    pts = points if condition is None else points.where(condition)
-    near = pts.select("chunk_id", "vector").join(q, F.lit(True)).select("query_id", "chunk_id", score.alias("score"))
-    return top_k(near, k)
+    pts = (points if condition is None else points.where(condition)).alias("p")
+    measure = dot if normalised else cosine
+    score = measure(F.col("q.vector"), F.col("p.vector")).alias("score")
+
+    def near(block: DataFrame) -> DataFrame:
+        pairs = pts.join(F.broadcast(block).alias("q"), F.lit(True) if allowed is None else allowed)
+        return top_k(pairs.select("q.query_id", "p.chunk_id", score), k)
+
+    return reduce(DataFrame.unionByName, map(near, _blocks(queries)))
 
 
 def query_terms(questions: DataFrame, terms: Column, weight: Column | None = None) -> DataFrame:
