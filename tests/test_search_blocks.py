@@ -19,3 +19,13 @@ def test_more_questions_than_a_block(spark, monkeypatch):
     whole = rows()
     monkeypatch.setattr(search, "QUERY_ROWS", 20)
     assert len(search._blocks(q)) > 1 and rows() == whole and len(whole) == 150
+
+
+def test_filters_hold_before_the_dense_top_k(spark):
+    rare = (F.col("chunk_id") >= 298).cast("int")
+    p = points(spark).select(F.col("chunk_id").cast("string").alias("chunk_id"), F.when(rare == 1, F.array(*map(F.lit, [-1.0, 0.1, 0.0, 0.0]))).otherwise(F.array(*map(F.lit, [1.0, 0.0, 0.0, 0.0]))).alias("vector"), F.when(rare == 1, "v1").otherwise("v2").alias("version_tag"))
+    for c, kind in {"text": "string", "source_id": "string", "source_path": "string", "hierarchy_path": "string", "parent_path": "string", "parent_chunk_id": "string", "section_title": "string", "version_order": "int", "status": "string", "valid_until": "date", "valid_from": "date", "line_num": "int", "page_num": "int", "ingest_seq": "int"}.items():
+        p = p.withColumn(c, F.concat(F.lit("x"), "chunk_id") if kind == "string" else F.lit(None).cast(kind))
+    q = spark.createDataFrame([(1, "What is new in v1", [1.0, 0.0, 0.0, 0.0])], "query_id long, question string, vector array<double>")
+    got = {r.chunk_id for r in answer.retrieve(q, answer.settle(p), None, ["v1", "v2"], strategy="dense").collect()}
+    assert {"298", "299"} <= got  # beyond the 150 nearest of all points

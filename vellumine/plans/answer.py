@@ -33,14 +33,15 @@ def retrieve(questions: DataFrame, points: DataFrame, index: DataFrame, version_
     """
     q = planner.plan(questions, version_tags)
     col = {c: F.col(f"p.{c}") for c in ("status", "version_tag", "valid_from", "valid_until")}
-    ok = lambda hits: hits.alias("h").join(q.alias("q"), "query_id").join(points.select("chunk_id", *list(col)).alias("p"), "chunk_id").where(filters.plan_condition(F.struct(F.col("q.filters").alias("filters")), F.col("q.question"), col)).select("query_id", "chunk_id", F.col("h.score").alias("score"))
+    allowed = filters.plan_condition(F.struct(F.col("q.filters").alias("filters")), F.col("q.question"), col)
+    ok = lambda hits: hits.alias("h").join(q.alias("q"), "query_id").join(points.select("chunk_id", *list(col)).alias("p"), "chunk_id").where(allowed).select("query_id", "chunk_id", F.col("h.score").alias("score"))
     branches = {}
     if strategy in ("sparse", "hybrid"):
         wanted = search.query_terms(q, terms(F.lower("question")))
         hit = wanted.select("query_id", "term").join(index, "term").groupBy("query_id", "chunk_id").agg(F.sum("weight").alias("score"))
         branches["sparse"] = search.top_k(ok(hit), BRANCH)
     if strategy in ("dense", "hybrid") and "vector" in questions.columns:
-        branches["dense"] = search.top_k(ok(search.dense(q, points, 10 * BRANCH)), BRANCH)
+        branches["dense"] = search.dense(q, points, BRANCH, allowed=allowed)
     if len(branches) == 2:
         ranked = fusion.hybrid(branches["dense"], branches["sparse"])
     else:
