@@ -53,6 +53,7 @@ def test_odd_rows(spark, data):
     got = {(r.id, r.lang_pred, r.score) for r in lang.where("id <= 6 or id is null").collect()}
     assert {(i, p) for i, p, s in got if s == 0} == {(1, "und"), (2, "und"), (3, "und"), (4, "und")} and any(i is None and p == "en" for i, p, _ in got)
     assert lang.where("id = 7").first().lang_pred != "und" and language.has_letter("é".encode()) and not language.has_letter("€ 5".encode())
+    assert not any(language.has_letter(t.encode()) for t in ("½ 5", "Ⅷ", "²", "٣", "_")) and all(language.has_letter(t.encode()) for t in ("ʰ", "中", "ǅ", "5 ß"))
 
 
 def test_no_labels_one_label_no_rows(spark, data):

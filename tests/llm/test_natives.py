@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import xxhash
 from pyspark.sql import functions as F
 
 from vellumine.llm import decontaminate, dedup_lines, merkle
@@ -42,10 +43,26 @@ def test_lines_against_brute_force(spark):
 def test_lines_of_null_and_repeated_ids(spark):
     rows = [(None, "a\nb\nc"), (1, "a\nb\nc"), (2, "u\nv\nw"), (2, "u\nv\nw")]
     out = sorted((str(r.doc_id), r.text) for r in dedup_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    assert out == [("1", ""), ("2", "u\nv\nw"), ("2", "u\nv\nw"), ("None", "a\nb\nc")]
+    assert out == [("1", ""), ("2", ""), ("2", "u\nv\nw"), ("None", "a\nb\nc")]
     assert dedup_lines.dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_rows_that_repeat_an_id_are_documents_of_their_own(spark):
+    hash_of = lambda t: xxhash.xxh64_intdigest(t.encode(), seed=42) - (1 << 64) * (xxhash.xxh64_intdigest(t.encode(), seed=42) >> 63)
+    rng = random.Random(3)
+    rows = [(1, "a\nb\nc"), (2, "a\nb\nc"), (2, "x\ny\nz\nunique"), (2, "x\ny\nz\nunique"), (2, None), (2, ""), (None, "x\ny\nz")]
+    rows += [(rng.randrange(5, 9), "\n".join(rng.choice("abcdefgh") for _ in range(rng.randrange(12)))) for _ in range(60)]
+    real = sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] is not None and hash_of(r[1]) or 42))
+    want = brute_lines([(-1, "x\ny\nz")] + [((n), t) for n, (_, t) in enumerate(real)])  # numbered in their order
+    df = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id long, text string, extra int").repartition(4)
+    out = dedup_lines.dedup_lines(df).collect()
+    assert Counter((r.doc_id, r.text) for r in out if r.doc_id is not None) == Counter((i, want[n]) for n, (i, _) in enumerate(real))
+    assert len(out) == len(rows) and sorted(r.extra for r in out) == list(range(len(rows)))
+    assert [r.text for r in out if r.doc_id is None] == ["x\ny\nz"]
+    kept = spark.createDataFrame([(1, "a\nb\nc"), (2, "a\nb\nc"), (2, "x\ny\nz unique")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in dedup_lines.dedup_lines(kept).collect()) == [(1, "a\nb\nc"), (2, ""), (2, "x\ny\nz unique")]
+
+
 def grams(t):
     import regex
 

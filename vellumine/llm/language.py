@@ -21,11 +21,12 @@ SHARP, INSIDE, SLACK = 25.0, 0.995, 1.15
 BATCH = 1 << 19
 
 _FOLD = np.array([32 if b < 65 or 90 < b < 97 or 122 < b < 128 else b + 32 if b <= 90 else b for b in range(256)], np.uint32)
-_ASCII_LETTER, _LETTER = re.compile(rb"[A-Za-z]"), re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
 
 def has_letter(text: bytes | None) -> bool:
-    return bool(text) and bool(_ASCII_LETTER.search(text) or _LETTER.search(text.decode("utf-8", "replace")))
+    """Whether a character is a letter by its Unicode category (L*); digits of any script, fractions and number forms aren't."""
+    return bool(text) and (bool(_ASCII_LETTER.search(text)) or any(map(str.isalpha, text.decode("utf-8", "replace"))))
 
 
 def _codes(data: bytes) -> np.ndarray:

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellumine.llm.common import small, table
+
 _KEY = r"(?i:password|passwd|secret|token|api_?key)"
 #: kind -> pattern, group that counts, least length of it. A span is the whole match.
 BASE = {
@@ -38,19 +40,32 @@ def phi(z: Column) -> Column:
     return F.when(z < 0, tail).otherwise(1.0 - tail)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often the body's lambdas use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _sums(sizes: Column, n: Column) -> Column:
+    """Running sums of the n values of array<int> by doubling: log2(n) passes over the whole array.
+
+    aggregate() copies what it has gathered at each step, so an array that grows by a value a step would take quadratic time.
+    """
+    passes = F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(n.cast("double"))).cast("int"), F.lit(1)) - 1)
+    shifted = lambda a, k: F.slice(F.concat(F.array_repeat(F.lit(0), F.pow(F.lit(2.0), k).cast("int")), a), 1, F.size(a))
+    return F.aggregate(passes, sizes, lambda a, k: F.zip_with(a, shifted(a, k), lambda x, y: x + y))
+
+
 def _matches(text: Column, pattern: str, group: int) -> Column:
     """array<struct<start, end, value>> of all matches: gaps between matches and the matches tile the text."""
-    found = F.when(F.rlike(text, F.lit(pattern)), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    both = F.zip_with(F.arrays_zip(found.alias("m"), value.alias("v")), F.slice(F.split(text, pattern, -1), 1, F.size(found)), lambda m, gap: F.struct(F.length(gap).alias("gap"), F.length(m["m"]).alias("n"), m["v"].alias("v")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
-    def step(a: Column, m: Column) -> Column:
-        end = a["at"] + m["gap"] + m["n"]
-        return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + m["gap"]).alias("start"), end.alias("end"), m["v"].alias("value")))).alias("out"))
+    def placed(m: Column) -> Column:
+        sizes = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(m)), m, lambda gap, x: F.length(gap) + F.length(x))
+        spans = F.zip_with(_sums(sizes, F.size(m)), m, lambda end, x: F.struct((end - F.length(x)).alias("start"), end.alias("end"), x.alias("value")))
+        return F.zip_with(spans, value, lambda s, v: F.struct(s["start"].alias("start"), s["end"].alias("end"), v.alias("value"))) if group else spans
 
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(both, zero, step)["out"]).otherwise(none)
+    return F.when(F.rlike(text, F.lit(pattern)), _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)).otherwise(none)
 
 
 def base_spans(text: Column) -> Column:
@@ -70,70 +85,52 @@ def _encoding(v: Column) -> Column:
     return out
 
 
-def battery(token: Column) -> Column:
-    """struct<encoding, n, p, p_runs, p_serial> of one token; encoding null where none is inferred.
+def battery(tokens: DataFrame, token: str = "token") -> DataFrame:
+    """tokens with encoding, n, p, p_runs and p_serial of each; encoding is null where none is inferred, and then the others tell nothing.
 
     p is how likely an unrandom string of the encoding and length is to be as even as the token: the chi-squared statistic
     against an even alphabet, which for such strings is noncentral in proportion to length (normal approximation).
     p_runs: of Wald and Wolfowitz' runs above and below the middle of the alphabet as sorted in the token; p_serial: of the
     correlation of each character's code with the next; both two-sided, and of a random string evenly spread.
+    Each step is a projection of its own, so that no figure is worked out twice.
     """
-    return _let(F.struct(token.alias("v"), F.regexp_replace(token, "=+$", "").alias("body"), _encoding(token).alias("enc")), _even)
+    names, v = tokens.columns, F.col(token)
+    d = tokens.withColumns({"encoding": _encoding(v), "__body": F.regexp_replace(v, "=+$", "")})
+    d = d.withColumn("__codes", F.transform(F.filter(F.split("__body", ""), lambda c: c != ""), lambda c: F.ascii(c).cast("double")))
+    d = d.withColumns({"__sorted": F.array_sort("__codes"), "n": F.size("__codes"), "__mean": F.aggregate("__codes", F.lit(0.0), lambda a, x: a + x) / F.size("__codes")})
+    d = d.withColumn("__middle", F.get("__sorted", F.floor(F.col("n") / 2).cast("int")))
+    run = F.struct(F.lit(0.0).alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("squares"))  # squares: of each character's number; (k + 1)^2 is k^2 + 2k + 1
 
+    def count(a: Column, x: Column) -> Column:
+        again = F.when(x == a["last"], a["run"]).otherwise(0.0)
+        return F.struct(x.alias("last"), (again + 1.0).alias("run"), (a["squares"] + 2.0 * again + 1.0).alias("squares"))
 
-def _let(value: Column, body) -> Column:
-    """body(value) with value computed once, however often the body's lambdas use it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _even(s: Column) -> Column:
-    chars = F.filter(F.split(s["body"], ""), lambda c: c != "")
-    return _let(F.struct(s["enc"].alias("enc"), s["body"].alias("body"), chars.alias("chars"), F.transform(chars, lambda c: F.ascii(c).cast("double")).alias("codes")), _order)
-
-
-def _order(s: Column) -> Column:
-    n = F.size(s["chars"]).cast("double")
-    squares = F.aggregate(F.array_distinct(s["chars"]), F.lit(0.0), lambda a, c: a + F.pow((F.length(s["body"]) - F.length(F.replace(s["body"], c, F.lit("")))).cast("double"), F.lit(2.0)))
-    middle = F.get(F.array_sort(s["codes"]), F.floor(F.size(s["codes"]) / 2).cast("int"))
-    mean = F.aggregate(s["codes"], F.lit(0.0), lambda a, x: a + x) / n
-    return _let(F.struct(s["enc"].alias("enc"), n.alias("n"), squares.alias("squares"), s["codes"].alias("codes"), middle.alias("middle"), mean.alias("mean")), _figures)
-
-
-def _figures(s: Column) -> Column:
-    sums = F.aggregate(s["codes"], F.struct(F.lit(0.0).alias("high"), F.lit(0.0).alias("var")), lambda a, x: F.struct((a["high"] + (x >= s["middle"]).cast("double")).alias("high"), (a["var"] + (x - s["mean"]) * (x - s["mean"])).alias("var")))
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.lit(1.0).alias("runs"), F.lit(0.0).alias("serial"))
+    walk = F.struct(F.lit(None).cast("double").alias("last"), F.lit(1.0).alias("runs"), F.lit(0.0).alias("serial"), F.lit(0.0).alias("high"), F.lit(0.0).alias("var"))
+    mean, middle = F.col("__mean"), F.col("__middle")
 
     def step(a: Column, x: Column) -> Column:
-        changed = F.coalesce(((x >= s["middle"]) != (a["last"] >= s["middle"])).cast("double"), F.lit(0.0))
-        return F.struct(x.alias("last"), (a["runs"] + changed).alias("runs"), (a["serial"] + F.coalesce((a["last"] - s["mean"]) * (x - s["mean"]), F.lit(0.0))).alias("serial"))
-
-    return _let(F.struct(s["enc"].alias("enc"), s["n"].alias("n"), s["squares"].alias("squares"), sums.alias("sums"), F.aggregate(s["codes"], start, step).alias("walk")), _verdict)
-
+        changed = F.coalesce(((x >= middle) != (a["last"] >= middle)).cast("double"), F.lit(0.0))
+        serial = F.coalesce((a["last"] - mean) * (x - mean), F.lit(0.0))
+        return F.struct(x.alias("last"), (a["runs"] + changed).alias("runs"), (a["serial"] + serial).alias("serial"), (a["high"] + (x >= middle).cast("double")).alias("high"), (a["var"] + (x - mean) * (x - mean)).alias("var"))
 
-def _verdict(s: Column) -> Column:
-    enc, n, n1, var = s["enc"], s["n"], s["sums"]["high"], s["sums"]["var"]
+    d = d.withColumns({"__squares": F.aggregate("__sorted", run, count)["squares"], "__w": F.aggregate("__codes", walk, step)})
     size, skew = F.lit(None).cast("double"), F.lit(None).cast("double")
     for name, (_, a, ic) in ENCODINGS.items():
-        size, skew = F.when(enc == name, float(a)).otherwise(size), F.when(enc == name, a * ic - 1).otherwise(skew)
-    df = size - 1
-    chi = size / n * s["squares"] - n
-    p = phi((chi - (df + n * skew)) / F.sqrt(2 * (df + 2 * n * skew)))
+        size, skew = F.when(F.col("encoding") == name, float(a)).otherwise(size), F.when(F.col("encoding") == name, a * ic - 1).otherwise(skew)
+    d = d.withColumns({"__n": F.col("n").cast("double"), "__size": size, "__skew": skew})
+    n, n1, var, df, skew = F.col("__n"), F.col("__w.high"), F.col("__w.var"), F.col("__size") - 1, F.col("__skew")
     mu = 2 * n1 * (n - n1) / n + 1
-    spread = (mu - 1) * (mu - 2) / (n - 1)
-    two = lambda z: 2 * phi(-F.abs(z))
-    return F.struct(
-        enc.alias("encoding"), n.cast("int").alias("n"), F.when(enc.isNotNull(), p).alias("p"),
-        F.coalesce(F.when(spread > 0, two((s["walk"]["runs"] - mu) / F.sqrt(spread))), F.lit(0.0)).alias("p_runs"),
-        F.coalesce(F.when(var > 0, two((s["walk"]["serial"] / var + 1 / n) * F.sqrt(n))), F.lit(0.0)).alias("p_serial"),
+    d = d.withColumns({"__chi": (F.col("__size") / n * F.col("__squares") - n - (df + n * skew)) / F.sqrt(2 * (df + 2 * n * skew)), "__spread": (mu - 1) * (mu - 2) / (n - 1)})
+    d = d.withColumns({
+        "__zr": F.when(F.col("__spread") > 0, -F.abs((F.col("__w.runs") - mu) / F.sqrt("__spread"))),
+        "__zs": F.when(var > 0, -F.abs((F.col("__w.serial") / var + 1 / n) * F.sqrt(n))),
+    })
+    return d.select(
+        *names, "encoding", "n", F.when(F.col("encoding").isNotNull(), phi(F.col("__chi"))).alias("p"),
+        F.coalesce(2 * phi(F.col("__zr")), F.lit(0.0)).alias("p_runs"), F.coalesce(2 * phi(F.col("__zs")), F.lit(0.0)).alias("p_serial"),
     )
 
 
-def _tested(text: Column) -> Column:
-    """array<struct<start, end, stats>> of the tokens whose encoding is inferred."""
-    tokens = F.transform(_matches(text, TOKEN, 0), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), battery(m["value"]).alias("s")))
-    return F.filter(tokens, lambda m: m["s"]["encoding"].isNotNull())
-
-
 def _bin(p: Column) -> Column:
     """Whole steps of 1/BINS powers of two under 1, so that p is at most 2^(-bin / BINS)."""
     return F.least(F.lit(400), F.floor(-F.log2(F.greatest(p, F.lit(1e-40))) * BINS)).cast("int")
@@ -163,17 +160,25 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: f
     """docs' id with base (array of fixed spans) and random (array of tested spans with their figures) for each row.
 
     Spans are in code points, the end exclusive. A token of twenty or more characters is a random span if its p is under
-    its length class's threshold and neither runs nor serial correlation speak against randomness. Null and empty texts have
-    no spans. Rows that repeat an id and rows of a null id are scanned as any other; no rows give no rows; other columns play no part.
+    its length class's threshold and neither runs nor serial correlation speak against randomness. Texts are read once: fixed
+    spans and tokens are written, the tokens are tested as rows, and those that pass return to their rows by id and the text's hash.
+    Null and empty texts have no spans. Rows that repeat an id and rows of a null id are scanned as any other; no rows give no
+    rows; other columns play no part. The work grows about in proportion to a text's matches.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    tokens = d.where(F.rlike("text", F.lit(TOKEN))).select(F.explode(_tested(F.col("text"))).alias("t")).select("t.s.n", "t.s.p")
-    found = thresholds(tokens, fdr)
+    seen = table(d.select("id", F.xxhash64("text").alias("h"), base_spans(F.col("text")).alias("base"), _matches(F.col("text"), TOKEN, 0).alias("tokens")), "tokens")
+    rows = seen.where(F.size("tokens") > 0).select("id", "h", F.explode("tokens").alias("t")).select("id", "h", "t.start", "t.end", F.col("t.value").alias("token"))
+    # written, as it is read twice and a filter on figures that is pushed below all their steps would write them out again and again
+    tested = table(battery(rows).where("encoding is not null").drop("token"), "tested")
+    found = thresholds(tested.select("n", "p"), fdr)
     limits = F.create_map(*[F.lit(x) for kv in found.items() for x in kv]) if found else F.create_map().cast("map<int,int>")
-    out = d.select("id", base_spans(F.col("text")).alias("base"), _tested(F.col("text")).alias("t"))
-    passed = F.filter("t", lambda m: (_bin(m["s"]["p"]) >= F.coalesce(limits[_length_class(m["s"]["n"])], F.lit(10_000))) & (m["s"]["p_runs"] >= LEVEL) & (m["s"]["p_serial"] >= LEVEL))
-    return out.select("id", "base", passed.alias("random"))
+    passed = tested.where((_bin(F.col("p")) >= F.coalesce(limits[_length_class(F.col("n"))], F.lit(10_000))) & (F.col("p_runs") >= LEVEL) & (F.col("p_serial") >= LEVEL))
+    figures = F.struct("start", "end", F.struct("encoding", "n", "p", "p_runs", "p_serial").alias("s"))
+    per = passed.groupBy(F.col("id").alias("__id"), F.col("h").alias("__h")).agg(F.array_sort(F.collect_set(figures)).alias("random"))  # a text's own tokens; equal rows' are the same
+    out = seen.join(small(per), (F.col("h") == F.col("__h")) & F.col("id").eqNullSafe(F.col("__id")), "left")
+    none = F.array().cast("array<struct<start:int,end:int,s:struct<encoding:string,n:int,p:double,p_runs:double,p_serial:double>>>")
+    return out.select("id", "base", F.coalesce("random", none).alias("random"))
 
 
 def report(scanned: DataFrame) -> DataFrame:
