@@ -16,24 +16,49 @@ from pyspark.sql import functions as F
 from vellumine.llm.common import small, table
 from vellumine.llm.labelled import labels_of, prior_shift, rates, thin
 
-#: A word is a node if it is in this share of the documents and in LEAST of them, or if the labels speak of it whatever its
-#: share: it is in LEAST labelled documents and the signed root of its log-likelihood ratio is at least EVIDENCE, either way.
-SHARE, LEAST, EVIDENCE = 0.001, 10, 2.5
+#: A word or stem is a node if it is in this share of the documents and in LEAST of them, or if the labels speak of it whatever its
+#: share: it is in LABELLED labelled documents and the signed root of its log-likelihood ratio is at least EVIDENCE, either way.
+SHARE, LEAST, LABELLED, EVIDENCE = 0.001, 10, 3, 2.5
+#: Words of LONG letters and more also have a stem, their first STEM letters; it stands in for a word that is no node itself.
+LONG, STEM = 8, 6
 #: Seeds: signed root of the log-likelihood ratio and odds ratio, at least; steps of the walk and the chance to go on.
-SEED_Z, SEED_ODDS, STEPS, ON = 5.0, 5.0, 8, 0.5
+SEED_Z, SEED_ODDS, STEPS, ON = 4.0, 5.0, 8, 0.5
 #: Labelled documents of each label, at most, on whose lexicon figures the last weights are fitted.
 TRAIN_ROWS = 4000
 _WORD = re.compile(r"[^\W\d_]+")
 #: Distinct word pairs that a task holds before it hands them on; of words, a quarter.
-_HELD = 3 << 19
+_HELD = 3 << 20
 
 
 def tokens(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def _terms(text: str | None) -> set[str]:
+    """The distinct words of a text and the stems of the long ones, marked by a star."""
+    own = set(tokens(text))
+    own.update([w[:STEM] + "*" for w in own if len(w) >= LONG])
+    return own
+
+
+class _Index(dict):
+    """Of nodes' values: a word's own, else its stem's, else None; what was looked up is kept, up to a bound."""
+
+    def __init__(self, values: dict, none=None) -> None:
+        super().__init__(values)
+        self.values_, self.none = values, none
+
+    def __missing__(self, word: str):
+        found = self.values_.get(word[:STEM] + "*", self.none) if len(word) >= LONG else self.none
+        if len(self) > len(self.values_) + 200_000:
+            self.clear()
+            self.update(self.values_)
+        self[word] = found
+        return found
+
+
 def _document_counts(docs: DataFrame) -> DataFrame:
-    """docs (t, label) -> (word, n, toxic, clean): documents that hold the word; the word '' counts all documents."""
+    """docs (t, label) -> (word, n, toxic, clean): documents that hold the word or stem; the word '' counts all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(every: Counter, by: dict[int, Counter]) -> pa.RecordBatch:
@@ -62,6 +87,7 @@ def _pair_counts(docs: DataFrame, index: dict[str, int]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        at_word = _Index(index, -1).__getitem__
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
             codes, where = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
@@ -71,7 +97,7 @@ def _pair_counts(docs: DataFrame, index: dict[str, int]) -> DataFrame:
             for at in range(0, b.num_rows, 256):
                 seq: list[int] = []
                 for t in b.column(0).slice(at, 256):
-                    seq += [index.get(w, -1) for w in tokens(t.as_py())]
+                    seq += map(at_word, tokens(t.as_py()))
                     seq.append(-1)
                 s = np.array(seq, np.int64)
                 ok = (s[:-1] >= 0) & (s[1:] >= 0) & (s[:-1] != s[1:])
@@ -86,19 +112,25 @@ def _pair_counts(docs: DataFrame, index: dict[str, int]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], ["code", "n"])
 
     sums = docs.select("t").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    sums = table(sums, "pairs")
-    one = sums.select(F.expr(f"cast(code div {v} as int)").alias("i"), F.expr(f"cast(code % {v} as int)").alias("j"), "n")
-    return one.unionByName(one.select(F.col("j").alias("i"), F.col("i").alias("j"), "n"))
+    return table(sums.select(F.expr(f"cast(code div {v} as int)").alias("i"), F.expr(f"cast(code % {v} as int)").alias("j"), "n"), "pairs")
+
+
+def _both(pairs: DataFrame, *values: str) -> DataFrame:
+    """Each pair either way."""
+    return pairs.select("i", "j", *values).unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), *values))
 
 
 def _edges(pairs: DataFrame) -> DataFrame:
-    """(i, j, p): chance that the walk goes from i to j, in proportion to positive pointwise mutual information."""
-    ends = pairs.groupBy("i").agg(F.sum("n").alias("m"))  # a row for each node
+    """pairs (i < j, n) -> (i, j, p): chance that the walk goes from i to j, in proportion to positive pointwise mutual information.
+
+    Each pair is weighed and written once; what goes out of a node is joined from a row for each node.
+    """
+    ends = _both(pairs, "n").groupBy("i").agg(F.sum("n").alias("m"))  # a row for each node
     total = ends.agg(F.sum("m")).first()[0] or 1
-    both = pairs.join(F.broadcast(ends), "i").join(F.broadcast(ends.select(F.col("i").alias("j"), F.col("m").alias("mj"))), "j")
-    w = both.select("i", "j", F.log(F.col("n") * F.lit(float(total)) / (F.col("m").cast("double") * F.col("mj"))).alias("w")).where("w > 0")
-    out = w.groupBy("i").agg(F.sum("w").alias("out"))
-    return w.join(F.broadcast(out), "i").select("i", "j", (F.col("w") / F.col("out")).alias("p"))
+    both = pairs.join(small(ends), "i").join(small(ends.select(F.col("i").alias("j"), F.col("m").alias("mj"))), "j")
+    w = table(both.select("i", "j", F.log(F.col("n") * F.lit(float(total)) / (F.col("m").cast("double") * F.col("mj"))).alias("w")).where("w > 0"), "graph")
+    out = _both(w, "w").groupBy("i").agg(F.sum("w").alias("out"))
+    return _both(w, "w").join(small(table(out, "out")), "i").select("i", "j", (F.col("w") / F.col("out")).alias("p"))
 
 
 def walk(edges: DataFrame, seeds: list[np.ndarray], steps: int = STEPS, on: float = ON) -> list[np.ndarray]:
@@ -106,7 +138,7 @@ def walk(edges: DataFrame, seeds: list[np.ndarray], steps: int = STEPS, on: floa
     spark, state = edges.sparkSession, list(seeds)
     for _ in range(steps):
         now = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(zip(*state))], ["i", *(f"s{k}" for k in range(len(state)))])
-        moved = edges.join(F.broadcast(now), "i").groupBy("j").agg(*[F.sum(F.col("p") * F.col(f"s{k}")).alias(f"s{k}") for k in range(len(state))])
+        moved = edges.join(small(now), "i").groupBy("j").agg(*[F.sum(F.col("p") * F.col(f"s{k}")).alias(f"s{k}") for k in range(len(state))])
         new = [np.zeros(len(s)) for s in seeds]
         for r in moved.collect():  # a row for each node
             for k in range(len(state)):
@@ -117,7 +149,7 @@ def walk(edges: DataFrame, seeds: list[np.ndarray], steps: int = STEPS, on: floa
 
 @dataclass
 class Lexicon:
-    polarity: dict[str, float]  # -1 (as in clean documents) to 1 (toxic)
+    polarity: _Index  # -1 (as in clean documents) to 1 (toxic)
     weights: np.ndarray  # of figures(), the intercept first
     centre: np.ndarray
     scale: np.ndarray
@@ -127,9 +159,9 @@ class Lexicon:
 BANDS = (0.9, 0.7, 0.4)
 
 
-def figures(polarity: dict[str, float], text: str | None) -> list[float]:
+def figures(polarity: _Index, text: str | None) -> list[float]:
     """Of the text's words in the lexicon: whether and how often one is in each band, those of the last negative band, the mean."""
-    got = [p for w in tokens(text) if (p := polarity.get(w)) is not None]
+    got = [p for w in tokens(text) if (p := polarity[w]) is not None]
     low = [0] * len(BANDS)
     for p in got:
         if p > BANDS[-1]:
@@ -159,12 +191,12 @@ def _root_g2(a: np.ndarray, b: np.ndarray, na: float, nb: float) -> np.ndarray:
 
 
 def _evident(toxic: float, clean: float) -> Column:
-    """Whether (toxic, clean) labelled documents of a word, of so many in all, are LEAST and tell the labels apart: _root_g2 in SQL."""
+    """Whether (toxic, clean) labelled documents of a word, of so many in all, are LABELLED and tell the labels apart: _root_g2 in SQL."""
     a, b, na, nb = F.col("toxic").cast("double"), F.col("clean").cast("double"), float(toxic), float(clean)
     term = lambda k, e: F.when(k > 0, k * F.log(k / e)).otherwise(0.0)
     share = (a + b) / (na + nb)
     g = 2 * (term(a, na * share) + term(na - a, na * (1 - share)) + term(b, nb * share) + term(nb - b, nb * (1 - share)))
-    return (a + b >= LEAST) & (g >= EVIDENCE**2)
+    return (a + b >= LABELLED) & (g >= EVIDENCE**2)
 
 
 def induce(docs: DataFrame) -> tuple[dict[str, float], int]:
@@ -187,7 +219,7 @@ def induce(docs: DataFrame) -> tuple[dict[str, float], int]:
         return {}, 0
     starts = [np.where(bad, z, 0.0), np.where(good, a + b + 1, 0.0)]
     starts = [s / s.sum() for s in starts]
-    edges = table(_edges(_pair_counts(docs, {w: i for i, w in enumerate(words)})), "graph")
+    edges = _edges(_pair_counts(docs, {w: i for i, w in enumerate(words)}))
     toxic, clean = walk(edges, starts)
     # where a walk from everywhere alike would be about: rare words lean less on a chance neighbour, common ones not by being common
     base = np.array([r.n for r in kept], float)
@@ -209,6 +241,7 @@ def scorer(docs: DataFrame, labels: DataFrame, label_col: str, keep: Column, id_
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     marked = own.join(small(known), F.col("id") == F.col("__id"), "left").select("id", "t", F.col("__label").alias("label"))
     polarity, _ = induce(marked)
+    polarity = _Index(polarity)
     prior = float(known.agg(F.avg("__label")).first()[0] or 0.0)
     if not polarity:
         return lambda text: F.lit(prior)
