@@ -5,7 +5,8 @@ import pytest
 import xxhash
 
 from vellumine.llm.components import components
-from vellumine.llm.simhash import near_duplicates, simhash, trie_pairs
+from vellumine.llm import simhash as module
+from vellumine.llm.simhash import forest, near_duplicates, near_texts, simhash, trie_pairs
 
 
 def brute(text):
@@ -45,7 +46,7 @@ def test_trie_finds_each_pair_once(seed):
     near = np.array([int(x) ^ int(sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False))) for x in np.repeat(base, 8)], np.uint64)
     a = np.unique(np.concatenate([base, near]))
     want = {(i, j) for i in range(len(a)) for j in range(i + 1, len(a)) if (x := int(a[i] ^ a[j])).bit_count() <= 3 and (x >> 32).bit_count() <= 1}
-    got = [(int(i), int(j)) for x, y in trie_pairs(a, None, 0, 0, 3, 1, leaf=4, block=64) for i, j in zip(x, y)]
+    got = [(int(i), int(j)) for x, y in trie_pairs(a, None, 0, 0, ((32, 1), (64, 3)), leaf=4, block=64) for i, j in zip(x, y)]
     assert len(got) == len(set(got)) and set(got) == want
 
 
@@ -75,3 +76,90 @@ def test_null_ids_and_no_rows(spark):
     df = spark.createDataFrame([(None, "a b c d"), (5, "a b c d"), (None, "z")], "doc_id long, text string")
     assert sorted((r.id or -1, r.component or -1) for r in near_duplicates(df).collect()) == [(-1, -1), (-1, 5), (5, 5)]
     assert near_duplicates(df.limit(0)).count() == 0
+
+
+def test_trie_of_equal_keys_and_two_sides():
+    rng = np.random.default_rng(4)
+    a = np.sort(np.concatenate([np.full(300, 7, np.uint64), rng.integers(0, 1 << 20, 50, dtype=np.uint64)]))
+    b = np.sort(np.concatenate([np.full(80, 5, np.uint64), rng.integers(0, 1 << 20, 50, dtype=np.uint64)]))
+    steps = ((50, 0), (64, 2))
+    for x, y in ((a, None), (a, b)):
+        z = x if y is None else y
+        want = sum(((z ^ v).astype(np.uint64) >> np.uint64(14) == 0).astype(int) @ (np.bitwise_count(z ^ v) <= 2).astype(int) for v in x)
+        want = (want - len(x)) // 2 if y is None else want
+        got = [(i, j) for p, q in trie_pairs(x, y, 0, 0, steps, leaf=4, block=64) for i, j in zip(p.tolist(), q.tolist())]
+        assert len(got) == len(set(got)) == want
+
+
+def test_forest_is_least_and_spans():
+    rng = np.random.default_rng(5)
+    n = 60
+    u, v, d = rng.integers(0, n, 200), rng.integers(0, n, 200), rng.integers(0, 9, 200)
+    kept, label = forest(n, u, v, d)
+    for most in range(9):  # a least forest connects what the edges up to each length connect
+        whole = classes([(a, b) for a, b, x in zip(u.tolist(), v.tolist(), d.tolist()) if x <= most], range(n))
+        few = classes([(u[k], v[k]) for k in kept.tolist() if d[k] <= most], range(n))
+        assert whole == few
+    whole = classes(list(zip(u.tolist(), v.tolist())), range(n))
+    assert len(kept) == n - len(set(whole.values())) and len(set(zip(label.tolist(), whole.values()))) == len(set(whole.values())) == len(set(label.tolist()))
+
+
+def test_large_buckets_go_in_blocks(spark):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    near = [int(x) ^ int(sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 4), replace=False))) for x in np.repeat(base, 3)]
+    fps = sorted({int(x) for x in base} | set(near))
+    nodes = spark.createDataFrame([(i, x - (1 << 64) * (x >> 63)) for i, x in enumerate(fps)], "node long, w0 long")
+    want = classes([(i, j) for j in range(len(fps)) for i in range(j) if (fps[i] ^ fps[j]).bit_count() <= 3], range(len(fps)))
+    for rows, most in ((1 << 16, 1 << 18), (100, 40)):
+        got = [(r.u, r.v) for r in module.links(nodes, module._exact(3), rows, most).collect()]
+        assert all((fps[u] ^ fps[v]).bit_count() <= 3 for u, v in got) and classes(got, range(len(fps))) == want
+
+
+def five(text, size=5):
+    w = [x for x in __import__("re").split("[ \t-\r]+", (text or "").lower()) if x]
+    return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def jaccard_groups(rows, least=0.8):
+    """Groups of (id, text) rows, ids distinct, by the Jaccard similarity of five-word sets; by brute force."""
+    sets = {i: five(t) for i, t in rows}
+    ids = sorted(sets)
+    alike = lambda a, b: (not a and not b) or len(a & b) >= least * len(a | b)
+    return classes([(a, b) for k, b in enumerate(ids) for a in ids[:k] if min(len(sets[a]), len(sets[b])) >= least * max(len(sets[a]), len(sets[b])) and alike(sets[a], sets[b])], ids)
+
+
+def test_near_texts_against_brute_force(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for g in range(60):  # chains and stars of edited copies, about the line and beyond it
+        text = [rng.choice(words) for _ in range(rng.randrange(5, 400))]
+        rows.append((1000 * g, " ".join(text)))
+        for k in range(1, rng.randrange(2, 25)):
+            for _ in range(rng.randrange(0, max(2, len(text) // 25))):
+                text[rng.randrange(len(text))] = rng.choice(words)
+            rows.append((1000 * g + k, " ".join(text)))
+    rows += [(90_001, None), (90_002, ""), (90_003, " \n"), (90_004, "one"), (90_005, "One"), (90_006, rows[0][1].upper())]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, key int, component int").repartition(5)
+    want = jaccard_groups(rows)
+    got = {r.id: r.component for r in near_texts(df).collect()}
+    assert len(got) == len(rows) and sum(got[i] != want[i] for i in want) <= 0.005 * len(rows)
+    pairs = sum(want[i] != i for i in want)
+    assert pairs > 150
+    kept = module.distinct_texts(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted({got[i] for i in got})
+
+
+def test_near_texts_of_null_and_repeated_ids(spark):
+    rows = [(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (5, "q r s t u v w"), (7, "q r s t u v w"), (9, "A B C D E F")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.text) for r in module.distinct_texts(df).collect()) == [("5", "a b c d e f"), ("5", "q r s t u v w"), ("None", "a b c d e f")]
+    assert module.distinct_texts(df.limit(0)).count() == 0
+
+
+def test_stage_drops_copies_with_edited_words(spark):
+    words = [f"word{i}" for i in range(400)]
+    edited = [w if i % 100 else "other" for i, w in enumerate(words)]
+    docs = spark.createDataFrame([(3, " ".join(words)), (5, " ".join(edited)), (7, " ".join(words[::-1])), (None, " ".join(words))], "doc_id long, text string")
+    assert sorted(r.doc_id or 0 for r in module.distinct_texts(docs).collect()) == [0, 3, 7]
