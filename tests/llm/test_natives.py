@@ -124,7 +124,7 @@ def test_edits_against_brute_force(spark):
         assert (out[i].fingerprint == out[i].edited_fingerprint) == (t == edited)
         assert 0 <= out[i].near_edited <= 1 and 0 <= out[i].near_next <= 1
     assert out[12].fingerprint == out[13].fingerprint and out[12].near_next == 1.0 and out[5].fingerprint != out[12].fingerprint
-    assert out[40].near_edited > 0.4
+    assert out[40].near_edited > 0.35
 
 
 def test_edits_of_repeated_null_and_lone_ids(spark):
@@ -138,9 +138,28 @@ def test_edits_of_repeated_null_and_lone_ids(spark):
 
 
 def test_likeness_and_place_of_edits(spark):
-    base = "".join(f"Sentence number {i} is here. " for i in range(100))
-    df = spark.createDataFrame([(1, base, base.replace("number 50", "number fifty"))], "id long, a string, b string")
+    rng = random.Random(7)
+    sentence = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8))) for _ in range(9)).capitalize() + ". "
+    lines = ["".join(sentence() for _ in range(3)) + "\n" for _ in range(100)]
+    base, one = "".join(lines), "".join(lines[:50] + [lines[50] + "An inserted sentence.\n"] + lines[51:])
+    blocks = [s + ". " for s in base.replace("\n", "").split(". ") if s]
+    rng.shuffle(blocks)
+    mixed = rng.sample(lines, len(lines))
+    texts = {"same": base, "inserted": one, "paragraph": "".join(lines[:30] + ["A new paragraph.\n"] + lines[30:]), "cut": "".join(lines[:90]), "paragraphs": "".join(mixed), "sentences": "".join(blocks), "other": "".join(sentence() + "\n" for _ in range(300)), "none": ""}
+    df = spark.createDataFrame([(k, base, t) for k, t in texts.items()], "id string, a string, b string")
     a = merkle.fingerprints(df.select("id", "a"), "id", "a").withColumnRenamed("fingerprint", "fa")
     b = merkle.fingerprints(df.select("id", "b"), "id", "b").withColumnRenamed("fingerprint", "fb")
-    r = a.join(b, "id").select(merkle.likeness(F.col("fa"), F.col("fb")).alias("l"), merkle.differing_sections(F.col("fa"), F.col("fb")).alias("d"), merkle.likeness(F.col("fa"), F.col("fa")).alias("s")).first()
-    assert 0.97 < r.l < 1 and r.d == [3] and r.s == 1.0
+    got = {r.id: r for r in a.join(b, "id").select("id", "fa", "fb", merkle.likeness(F.col("fa"), F.col("fb")).alias("l"), merkle.differing_sections(F.col("fa"), F.col("fb")).alias("d")).collect()}
+    like = {k: r.l for k, r in got.items()}
+    n = len(got["same"].fa.split("|")) - 1
+    assert 5 <= n <= 40 and like["same"] == 1.0 and got["same"].d == [] and like["none"] == 0.0 and like["other"] < 0.01 and len(got["other"].d) == n
+    assert len(got["inserted"].d) <= 2 and len(got["paragraph"].d) <= 2 and got["inserted"].d != got["paragraph"].d
+    assert 0.95 < like["inserted"] < 1 and 0.95 < like["paragraph"] < 1 and 0.85 < like["cut"] < 0.98
+    assert like["sentences"] < 0.92 and like["sentences"] < like["paragraphs"] < like["inserted"]
+    assert len(got["same"].fa) < 0.4 * len(base)
+
+
+def test_long_texts_have_trees(spark):
+    rows = [(1, "word. " * 200_000), (2, "x" * 500_000), (3, "\n" * 100_000), (4, "# Head\nline\n" * 20_000)]
+    out = {r.id: r for r in merkle.edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(out) == 4 and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in out.values()) and len({r.fingerprint for r in out.values()}) == 4
