@@ -188,6 +188,9 @@ class Pieces:
                 self.text[i] = p.encode()
                 if not re.search("[^ ] ", p):  # it would go beyond a word
                     self.ids[p] = (i, -alpha * math.log(max(0, i - first) + 10))
+        self.pool = np.frombuffer(b"".join(self.text), np.uint8)  # all pieces' bytes, with each one's number and place
+        self.size = np.array(list(map(len, self.text)), np.int32)
+        self.start = np.cumsum(self.size, dtype=np.int32) - self.size
         if len(self.byte) != 256:
             raise ValueError("the vocabulary has no byte fallback")
         self.longest = max(map(len, self.ids))
@@ -445,6 +448,19 @@ class Pieces:
         """The text of ids: what sample() was given, for each of its segmentations."""
         return b"".join(map(self.text.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
 
+    def decodes(self, ids: np.ndarray, text: str) -> bool:
+        """Whether decode(ids) is the text: all bytes are decoded and compared, some pieces at a time."""
+        want, at = (" " + text).encode("utf-8", "surrogatepass"), 0
+        for s in range(0, len(ids), 1 << 16):
+            part = ids[s : s + (1 << 16)]
+            n = self.size[part]
+            place = np.repeat(self.start[part] - (np.cumsum(n, dtype=np.int32) - n), n)
+            got = self.pool[place + np.arange(len(place), dtype=np.int32)].tobytes()
+            if want[at : at + len(got)] != got:
+                return False
+            at += len(got)
+        return at == len(want)
+
 
 _loaded: dict[tuple[int, float], Pieces] = {}
 
@@ -490,7 +506,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                 inner = pa.StructArray.from_arrays([flat, *(pa.array([x[f] for x in rows], pa.float64()) for f in (1, 2, 3))], ["pieces", "log_prob", "perturbed", "inclusion"])
                 ends = np.cumsum([0] + [len(got.get(i, [])) for i in range(len(texts))])
                 nulls = [None if texts[i] is None else int(ends[i]) for i in range(len(texts))] + [int(ends[-1])]
-                exact = [all(pieces.decode(x[0].tolist()) == t for x in got[i]) if verify and t is not None else None for i, t in enumerate(texts)]
+                exact = [all(pieces.decodes(x[0], t) for x in got[i]) if verify and t is not None else None for i, t in enumerate(texts)]
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.ListArray.from_arrays(pa.array(nulls, pa.int32()), inner), pa.array(exact, pa.bool_())], ["key", "samples", "exact"])
 
     schema = "key string, samples array<struct<pieces:array<int>,log_prob:double,perturbed:double,inclusion:double>>, exact boolean"
