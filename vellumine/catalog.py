@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumine.functions.text import clip_text, collapse_ws, content_hash, first_filled, parent_path, path_norm, scale01, strip_ws, terms, tokens_ws, uuid5
+from vellumine.functions.sizes import small
 from vellumine.operators import chunk as ch
 from vellumine.operators import diff, expand, filters, fusion, generate, metrics, reliability, rerank, search
 from vellumine.plans import planner
@@ -131,7 +132,7 @@ def _sparse(spark: SparkSession, sf_dir: str, k: int = 15) -> DataFrame:
     index = search.postings(d, terms(F.lower("text")))
     q = search.query_terms(_t(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id"), terms(F.lower("text"))).drop("weight")
     # df of the questions' terms only: the index isn't shuffled for terms that nobody asks for
-    asked = index.join(F.broadcast(q.select("term").distinct()), "term")
+    asked = index.join(small(q.select("term").distinct()), "term")
     weights = search.idf(asked, d.count())
     hit = q.join(weights, "term").join(asked, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("weight") * F.col("idf")), 6).alias("score"))
     return search.top_k(hit, k)
@@ -164,18 +165,28 @@ def sparse_topk(spark, sf_dir):
     return _sparse(spark, sf_dir)
 
 
-_SECOND = """, second AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, chunk_id) AS rank FROM (
-  SELECT query_id, doc_id AS chunk_id, count(*) AS n FROM q JOIN post USING (term) GROUP BY ALL) QUALIFY rank <= 15),
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_VECTOR = "list_transform(string_split('" + _LETTERS + "', ''), lambda c: (length(lower(text)) - length(replace(lower(text), c, '')))::DOUBLE)"
+_SECOND = f""", dv AS (SELECT doc_id AS chunk_id, {_VECTOR} AS v FROM documents), bv AS (SELECT item_id AS query_id, {_VECTOR} AS v FROM benchmark),
+ln AS (SELECT query_id, chunk_id, round(list_dot_product(a.v, b.v) / (greatest(sqrt(list_dot_product(a.v, a.v)), 1e-10) * greatest(sqrt(list_dot_product(b.v, b.v)), 1e-10)), 6) AS score FROM bv a, dv b),
+second AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM ln QUALIFY rank <= 15),
 fused AS (SELECT query_id, chunk_id, round(sum(part), 9) AS score, min(l * 1000 + rank) AS seen FROM (
   SELECT query_id, chunk_id, rank, 0 AS l, 0.6 / (60 + rank) AS part FROM second UNION ALL SELECT query_id, chunk_id, rank, 1, 0.4 / (60 + rank) FROM sparse) GROUP BY ALL)
 """
 
 
+def _letters(text: Column) -> Column:
+    """A vector that SQL can repeat: how often each letter occurs."""
+    low = F.lower(text)
+    return F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in _LETTERS])
+
+
 def _second(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A second ranking of the same questions: by the number of shared terms."""
-    d = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.explode(F.array_distinct(terms(F.lower("text")))).alias("term"))
-    q = F.broadcast(search.query_terms(_t(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id"), terms(F.lower("text"))))
-    return search.top_k(d.join(q, "term").groupBy("query_id", "chunk_id").agg(F.count("*").alias("score")), 15)
+    """The dense ranking of the same questions: the nearest letter vectors by cosine, held against all documents in blocks."""
+    points = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), _letters(F.col("text")).alias("vector"))
+    questions = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), _letters(F.col("text")).alias("vector"))
+    near = search.dense(questions, points, 60).withColumn("score", F.round("score", 6))  # more than are kept, as rounding makes ties
+    return search.top_k(near.drop("rank"), 15)
 
 
 @query(_TERMS + _SECOND + "SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen) AS rank FROM fused")
@@ -194,9 +205,9 @@ top AS (SELECT query_id, chunk_id, rerank_score, source, row_number() OVER (PART
 
 @query(_TERMS + _SECOND + _RERANK.replace("AS rank FROM scored QUALIFY rank <= 10", "AS rank FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC NULLS LAST, scored.rank) <= 10").replace("LAST, rank) AS rank FROM scored", "LAST, scored.rank) AS rank FROM scored") + "SELECT query_id, chunk_id, rerank_score, rank FROM top")
 def hybrid_retrieve(spark, sf_dir):
-    fused = fusion.rrf([_second(spark, sf_dir), _sparse(spark, sf_dir)], [0.6, 0.4]).withColumn("score", F.round("score", 9))
+    fused = fusion.hybrid(_second(spark, sf_dir), _sparse(spark, sf_dir)).withColumn("score", F.round("score", 9))
     b = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    c = fused.join(F.broadcast(b), "query_id").join(_docs(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text", "hierarchy_path"), "chunk_id")
+    c = fused.join(small(b), "query_id").join(_docs(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text", "hierarchy_path"), "chunk_id")
     score = F.round(rerank.heuristic_score(F.col("question"), F.col("text"), F.col("hierarchy_path"), F.col("score")), 9)
     return rerank.rerank(c, 10, score=score).select("query_id", "chunk_id", "rerank_score", "rank")
 
@@ -289,10 +300,10 @@ def change_summary(spark, sf_dir):
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _versions(spark, sf_dir)
-    return v.where("lang = 'en'").select((F.col("doc_id") % 50).alias("query_id"), F.concat_ws("@", F.col("doc_id").cast("string"), "version_tag").alias("chunk_id"), (F.col("doc_id") * 2 + F.col("version_order")).alias("rank"), F.col("source").alias("source_id"), "hierarchy_path", "version_tag", "version_order", "text", parent_path(F.col("hierarchy_path")).alias("parent_path"))
+    return v.select((F.col("doc_id") % 50).alias("query_id"), F.concat_ws("@", F.col("doc_id").cast("string"), "version_tag").alias("chunk_id"), (F.col("doc_id") * 2 + F.col("version_order")).alias("rank"), F.col("source").alias("source_id"), "hierarchy_path", "version_tag", "version_order", "text", parent_path(F.col("hierarchy_path")).alias("parent_path"))
 
 
-_CAND = "WITH " + _V + f""", c AS (SELECT doc_id % 50 AS query_id, doc_id || '@' || version_tag AS chunk_id, doc_id * 2 + version_order AS rank, source AS source_id, hierarchy_path, version_tag, version_order, text, regexp_replace(hierarchy_path, '\\[[0-9]+\\]$', '') AS parent_path FROM v WHERE lang = 'en')"""
+_CAND = "WITH " + _V + f""", c AS (SELECT doc_id % 50 AS query_id, doc_id || '@' || version_tag AS chunk_id, doc_id * 2 + version_order AS rank, source AS source_id, hierarchy_path, version_tag, version_order, text, regexp_replace(hierarchy_path, '\\[[0-9]+\\]$', '') AS parent_path FROM v)"""
 
 
 @query(_CAND + """, k AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_id, hierarchy_path ORDER BY version_order DESC, rank) AS n, min(rank) OVER (PARTITION BY query_id, source_id, hierarchy_path) AS f FROM c)
@@ -316,13 +327,13 @@ def sibling_completion(spark, sf_dir):
     return expand.siblings(_candidates(spark, sf_dir), p).select("query_id", "chunk_id")
 
 
-@query(_CAND + """, o AS (SELECT * FROM c WHERE version_tag = 'v1' OR length(text) > 1500), w AS (SELECT DISTINCT query_id, source_id, hierarchy_path, CASE version_tag WHEN 'v1' THEN 'v2' ELSE 'v1' END AS version_tag FROM o)
-SELECT w.query_id, v.doc_id || '@' || v.version_tag AS chunk_id FROM w JOIN v ON v.source = w.source_id AND v.hierarchy_path = w.hierarchy_path AND v.version_tag = w.version_tag
-WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.query_id = w.query_id AND o.hierarchy_path = w.hierarchy_path AND o.version_tag = w.version_tag)""")
+@query(_CAND + """, o AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY query_id, source_id, hierarchy_path ORDER BY version_order DESC, rank) = 1), w AS (SELECT DISTINCT query_id, source_id, hierarchy_path, CASE version_tag WHEN 'v1' THEN 'v2' ELSE 'v1' END AS version_tag FROM o)
+SELECT w.query_id, v.doc_id || '@' || v.version_tag AS chunk_id FROM w JOIN v ON v.source = w.source_id AND v.hierarchy_path = w.hierarchy_path AND v.version_tag = w.version_tag""")
 def counterpart_completion(spark, sf_dir):
+    """Of what version_dedupe leaves, the other version of each place."""
     p = _versions(spark, sf_dir).select(F.concat_ws("@", F.col("doc_id").cast("string"), "version_tag").alias("chunk_id"), F.col("source").alias("source_id"), "version_tag", "hierarchy_path")
-    some = _candidates(spark, sf_dir).where("version_tag = 'v1' or length(text) > 1500")
-    return expand.counterparts(some, p, F.lit("v1"), F.lit("v2")).select("query_id", "chunk_id")
+    latest = expand.version_dedupe(_candidates(spark, sf_dir))
+    return expand.counterparts(latest, p, F.lit("v1"), F.lit("v2")).select("query_id", "chunk_id")
 
 
 # --- reliability
@@ -336,10 +347,9 @@ SELECT item_id, doc_id, CASE WHEN ratio >= 0.6 THEN 'sufficient' WHEN ratio > 0
 def sufficiency_entity_match(spark, sf_dir):
     b = _t(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
     d = _t(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % b.count()).alias("item_id"))
-    j = d.join(F.broadcast(b), "item_id").withColumn("t", reliability.question_terms(F.col("question")))
-    found = F.filter("t", lambda x: F.contains(F.lower("text"), x))
-    ratio = F.when(F.size("t") == 0, 0.0).otherwise(F.size(found) / F.size("t"))
-    return j.select("item_id", "doc_id", reliability.sufficiency(F.col("question"), F.col("text"))["verdict"].alias("verdict"), F.round(ratio, 6).alias("ratio"))
+    j = d.join(small(b), "item_id").withColumns({"t": reliability.question_terms(F.col("question")), "low": F.lower("text")})
+    j = j.withColumn("ratio", F.round(reliability.term_share(F.col("t"), F.col("low")), 6))
+    return j.select("item_id", "doc_id", reliability.sufficiency(F.col("question"), F.col("text"))["verdict"].alias("verdict"), "ratio")
 
 
 _SIGNALS = """s AS (SELECT o_orderkey AS query_id, o_orderkey % 4 AS m, o_totalprice, (o_orderkey % 11) / 10.0 AS conf, CASE o_orderkey % 3 WHEN 0 THEN 'sufficient' WHEN 1 THEN 'partial' ELSE 'insufficient' END AS verdict, (o_orderkey % 7) / 6.0 AS sconf, o_orderstatus = 'F' AS low FROM orders),
@@ -486,17 +496,11 @@ def round_robin_sample(spark, sf_dir):
     return metrics.round_robin(_t(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id", 50)
 
 
-@query("""SELECT source AS source_id, count(*) AS documents, sum(len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13)) <> ''))) AS chunks FROM documents GROUP BY ROLLUP (source)""")
-def ingestion_report(spark, sf_dir):
-    n = F.size(F.filter(F.split("text", "\n"), lambda x: strip_ws(x) != ""))
-    return _t(spark, sf_dir, "documents").withColumn("n", n).rollup(F.col("source").alias("source_id")).agg(F.count("*").alias("documents"), F.sum("n").alias("chunks"))
-
-
 @query(rf"""SELECT item_id, doc_id, len(list_intersect(list_distinct(list_filter(regexp_split_to_array(lower(b.text), '{_WS}'), lambda x: length(x) > 3)), list_filter(regexp_split_to_array(lower(d.text), '{_WS}'), lambda x: x <> ''))) AS hits FROM benchmark b JOIN documents d ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id""")
 def keyword_intersection(spark, sf_dir):
     b = _t(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
     d = _t(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % b.count()).alias("item_id"))
-    return d.join(F.broadcast(b), "item_id").select("item_id", "doc_id", rerank.keyword_hits(F.col("question"), F.col("text")).cast("long").alias("hits"))
+    return d.join(small(b), "item_id").select("item_id", "doc_id", rerank.keyword_hits(F.col("question"), F.col("text")).cast("long").alias("hits"))
 
 
 @query("""SELECT url, ltrim(replace(url, chr(92), '/'), './') AS norm, suffix(url, 'html') AS relevant FROM pages""")
@@ -531,7 +535,7 @@ def star_pricing(spark, sf_dir):
 @query("""SELECT n_name, r_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY CUBE (n_name, r_name)""")
 def star_cube(spark, sf_dir):
     o, c, n, r = (_t(spark, sf_dir, x) for x in ("orders", "customer", "nation", "region"))
-    j = o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), c.c_nationkey == n.n_nationkey).join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
+    j = o.join(c, o.o_custkey == c.c_custkey).join(small(n), c.c_nationkey == n.n_nationkey).join(small(r), n.n_regionkey == r.r_regionkey)
     return j.cube("n_name", "r_name").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 

@@ -20,8 +20,17 @@ def question_terms(question: Column) -> Column:
 def sufficiency(question: Column, evidence: Column) -> Column:
     """struct<verdict, confidence, method>: the share of the question's terms that occur anywhere in the evidence's text."""
     t = question_terms(question)
-    found = F.filter(t, lambda x: F.contains(F.lower(F.coalesce(evidence, F.lit(""))), x))
-    ratio = F.when(F.size(t) > 0, F.size(found) / F.size(t)).otherwise(0.0)
+    # the text is lowered once and the share worked out once, however many terms there are
+    ratio = F.get(F.transform(F.array(F.struct(t.alias("t"), F.lower(F.coalesce(evidence, F.lit(""))).alias("low"))), lambda s: term_share(s["t"], s["low"])), F.lit(0))
+    return F.get(F.transform(F.array(ratio), _verdict), F.lit(0))
+
+
+def term_share(t: Column, low: Column) -> Column:
+    """Share of terms that occur in a text in lower case; 0 without terms."""
+    return F.when(F.size(t) > 0, F.size(F.filter(t, lambda x: F.contains(low, x))) / F.size(t)).otherwise(0.0)
+
+
+def _verdict(ratio: Column) -> Column:
     verdict = F.when(ratio >= 0.6, "sufficient").when(ratio > 0, "partial").otherwise("insufficient")
     return F.struct(verdict.alias("verdict"), F.bround(ratio, 2).alias("confidence"), F.lit("entity_match").alias("method"))
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vellumine.functions.sizes import small
 from vellumine.functions.text import collapse_ws, uuid5
 from vellumine.functions.vectors import unit
 from vellumine.sources.files import point_id
@@ -33,23 +36,36 @@ def points(chunks: DataFrame, scope: str = "content") -> DataFrame:
 def upsert(rows: DataFrame, path: str, key: str, order: str, partitions: list[str]) -> None:
     """Merge rows into a Parquet table, rewriting only the partitions they touch; equal keys keep the greatest `order`.
 
-    The new state of those partitions goes to a folder beside the table first, so that a failed job leaves the old one.
+    Touched are the partitions of the rows and those that hold an older row of their keys, so that a key that moves leaves
+    nothing behind. The new state of those partitions goes to a folder of its own beside the table first, so that a failed job
+    leaves the old one; folders of partitions that end up without rows are removed.
     """
     spark = rows.sparkSession
     if not _exists(spark, path):
         last_of(rows, key, order).sortWithinPartitions(key).write.partitionBy(*partitions).parquet(path)
         return
     old = spark.read.parquet(path)
-    touched = rows.select(*partitions).distinct()
-    both = old.join(F.broadcast(touched), partitions, "left_semi").select(*rows.columns).unionByName(rows)
-    staged = f"{path}.staged"
-    last_of(both, key, order).write.mode("overwrite").parquet(staged)
+    held = old.join(small(rows.select(key).distinct()), key, "left_semi").select(*partitions)
+    touched = rows.select(*partitions).unionByName(held).distinct()
+    mine = old.withColumn("__folder", F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")).join(small(touched), partitions, "left_semi")
+    staged = f"{path}.staged-{uuid.uuid4().hex}"
+    last_of(mine.select(*rows.columns).unionByName(rows), key, order).write.parquet(staged)
+    new = spark.read.schema(rows.schema).parquet(staged)
+    # a row for each partition folder that has no rows any more
+    empty = [r[0] for r in mine.join(new.select(*partitions).distinct(), partitions, "left_anti").select("__folder").distinct().collect()]
     before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
-        spark.read.parquet(staged).sortWithinPartitions(key).write.mode("overwrite").partitionBy(*partitions).parquet(path)
+        new.sortWithinPartitions(key).write.mode("overwrite").partitionBy(*partitions).parquet(path)
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+    for folder in [*empty, staged]:
+        _delete(spark, folder)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def change_points(changes: DataFrame) -> DataFrame:
