@@ -5,7 +5,8 @@ bucket: at eight bytes a suffix that is over ten times the input in shuffle, bef
 suffixes is kept, chosen by content: of each 400-byte window the 128-byte string of least hash. Equal windows choose
 the same string at the same place, as with a cover of positions, so that all windows of a repeated string meet in the bucket of
 what they chose. Buckets are then resolved one at a time, first by one hash for a whole run of windows, and, where runs differ,
-window by window. The result is the same as by the full suffix array, up to collisions of 64-bit hashes.
+window by window. The result is the same as by the full suffix array, up to collisions of two 64-bit hashes at once (the chosen
+string's and the run's or window's), which takes the place of comparing bytes.
 """
 
 from __future__ import annotations
@@ -188,10 +189,10 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        own, k, s, n, c = (x.to_pylist() for x in b.columns)
+        kh, own, k, s, n, c = (x.to_pylist() for x in b.columns)
         m = np.array(n, np.int64)
         start = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(np.array(s, np.int64), m)
-        yield pa.RecordBatch.from_arrays([pa.array(window_hashes(c, n).view(np.int64)), pa.array(np.repeat(np.array(own, bool), m)), pa.array(np.repeat(np.array(k, np.int64), m)), pa.array(start)], ["w", "own", "k", "s"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(kh, np.int64), m)), pa.array(window_hashes(c, n).view(np.int64)), pa.array(np.repeat(np.array(own, bool), m)), pa.array(np.repeat(np.array(k, np.int64), m)), pa.array(start)], ["kh", "w", "own", "k", "s"])
 
 
 def repeated_windows(keyed: DataFrame, together: int = TOGETHER) -> DataFrame:
@@ -206,9 +207,9 @@ def repeated_windows(keyed: DataFrame, together: int = TOGETHER) -> DataFrame:
     todo = keyed.join(part.groupBy("k").agg(F.collect_list("r").alias("todo")), "k").select("k", "t", "todo")
     context = table(todo.mapInArrow(_contexts, "kh long, hot boolean, own boolean, k long, s long, n long, c binary"), "contexts")
     near = context.where("not hot").select("kh", "own", "k", "s", "n", "c").repartition("kh").sortWithinPartitions("kh").mapInArrow(_resolve, "k long, s long, n long")
-    windows = context.where("hot").select("own", "k", "s", "n", "c").mapInArrow(_window_rows, "w long, own boolean, k long, s long")
-    twice = windows.groupBy("w").count().where("count > 1").select("w")
-    single = windows.where("own").join(twice, "w", "left_semi").select("k", "s", F.lit(1).cast("long").alias("n"))
+    windows = context.where("hot").select("kh", "own", "k", "s", "n", "c").mapInArrow(_window_rows, "kh long, w long, own boolean, k long, s long")
+    twice = windows.groupBy("kh", "w").count().where("count > 1").select("kh", "w")  # equal windows chose the same string, so both hashes are theirs
+    single = windows.where("own").join(twice, ["kh", "w"], "left_semi").select("k", "s", F.lit(1).cast("long").alias("n"))
     return whole.unionByName(near).unionByName(single)
 
 
