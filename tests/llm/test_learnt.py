@@ -30,6 +30,8 @@ def test_language_is_learnt(spark, data):
 def test_toxic_words_are_found(spark, data):
     out = queries.op4_toxicity(spark, SF).join(data[1], "doc_id").collect()
     assert np.mean([r.predicted for r in out if not r.toxic]) < 0.02
+    english = {r.doc_id for r in data[0].where("lang = 'en'").select("doc_id").collect()}  # of the other languages six toxic documents or fewer are labelled
+    assert np.mean([r.predicted for r in out if r.toxic and r.doc_id in english]) >= 0.9
     plain = {"idiot", "moron", "scum", "trash", "clown"}
     texts = {r.doc_id: set(toxicity.tokens(r.text)) for r in data[0].collect()}
     assert all(r.predicted for r in out if len(texts[r.doc_id] & plain) >= 2)
@@ -77,6 +79,26 @@ def test_scores_do_not_depend_on_company_or_segments(monkeypatch):
     assert abs(quality.score(m, [long])[0] - whole) < 0.02
 
 
+def naive(m, text):
+    """The network's forward pass, window by window."""
+    n = max(1, -(-len(text) // quality.HALF))
+    e = m.bytes_[list(text.ljust(n * quality.HALF, b"\0"))]
+    w, per = quality.BLOCK, quality.HALF // quality.BLOCK
+    both = np.concatenate([m.first, m.second])
+    halves = np.full((n, quality.FILTERS), -np.inf)
+    for i in range(n * per - 1):
+        halves[i // per] = np.maximum(halves[i // per], e[i * w : (i + 2) * w].ravel() @ both)
+    chunks = [np.maximum(halves[0] + m.bias, 0)] if n == 1 else [np.maximum(np.maximum(halves[k], halves[k + 1]) + m.bias, 0) for k in range(n - 1)]
+    return 1 / (1 + np.exp(-(np.mean(chunks, axis=0) @ m.mean_w + np.max(chunks, axis=0) @ m.max_w + m.out[0])))
+
+
+def test_network_against_a_naive_forward_pass():
+    rng = np.random.default_rng(3)
+    m, _ = quality.fit([(b"shout!! shout!! " * 30, 0), (b"calm words that go on. " * 30, 1)] * 6)
+    texts = [b"", b"a", *(bytes(rng.integers(1, 256, n, np.uint8)) for n in (7, 8, 511, 512, 513, 1024, 1025, 5000)), b"calm words " * 400, b"shout!! " * 70]
+    assert np.allclose(quality.score(m, texts), [naive(m, t) for t in texts], atol=1e-5)
+
+
 def test_long_texts_are_counted_whole(monkeypatch):
     text = "The quick brown fox. ".encode() * 200
     whole = language.counts([text])[0]

@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+from statistics import NormalDist
 
 from vellumine.llm import secrets
 
@@ -63,3 +65,56 @@ def test_values_after_equals_signs_and_tokens_without_digits(spark):
     assert sum(out[i].n_random for i in range(60, 80)) == 0
     first = next(out[i] for i in range(10) if out[i].n_random)
     assert first.spans == "random:8:48"
+
+
+def brute_battery(token):
+    body = token.rstrip("=")
+    kind = next(((k, a, ic) for k, (pattern, a, ic) in secrets.ENCODINGS.items() if re.search(pattern, token)), None)
+    codes, phi = list(map(ord, body)), NormalDist().cdf
+    n, mean, middle = len(codes), sum(codes) / len(codes), sorted(codes)[len(codes) // 2]
+    high = [c >= middle for c in codes]
+    mu = 2 * sum(high) * (n - sum(high)) / n + 1
+    spread = (mu - 1) * (mu - 2) / (n - 1)
+    var, serial = sum((c - mean) ** 2 for c in codes), sum((a - mean) * (b - mean) for a, b in zip(codes, codes[1:]))
+    runs = 1 + sum(a != b for a, b in zip(high, high[1:]))
+    p_runs = 2 * phi(-abs(runs - mu) / math.sqrt(spread)) if spread > 0 else 0.0
+    p_serial = 2 * phi(-abs((serial / var + 1 / n) * math.sqrt(n))) if var > 0 else 0.0
+    if kind is None:
+        return None, n, None, p_runs, p_serial
+    size, skew = kind[1], kind[1] * kind[2] - 1
+    chi = size / n * sum(codes.count(c) ** 2 for c in set(codes)) - n
+    return kind[0], n, phi((chi - (size - 1 + n * skew)) / math.sqrt(2 * (size - 1 + 2 * n * skew))), p_runs, p_serial
+
+
+def test_battery_against_brute_force(spark):
+    rng = random.Random(8)
+    sets = ["0123456789", "0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "aB3", "abcABC012+/", "ABCDEFGHabcdefgh0123456789_-", "aaaaaab"]
+    tokens = ["".join(rng.choice(c) for _ in range(rng.randrange(20, 90))) + rng.choice(["", "", "=", "=="]) for c in sets for _ in range(30)] + ["a" * 30, "AB" * 20, "abc" * 9 + "==", "Ab0" * 700]
+    got = {r.token: r for r in secrets.battery(spark.createDataFrame([(t,) for t in set(tokens)], "token string")).collect()}
+    for t, r in got.items():
+        want = brute_battery(t)
+        assert (r.encoding, r.n) == want[:2], t
+        assert all((a is None) == (b is None) and (a is None or abs(a - b) < 1e-5) for a, b in zip((r.p, r.p_runs, r.p_serial), want[2:])), (t, r, want)
+    assert len({r.encoding for r in got.values()}) == len(secrets.ENCODINGS) + 1
+
+
+def test_step_up_control_against_brute_force(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice([20, 31, 40, 70, 300]), 10 ** -rng.uniform(0, 12) if rng.random() < 0.4 else rng.random()) for _ in range(3000)] + [(20, 0.0), (40, 1.0)]
+    got = secrets.thresholds(spark.createDataFrame(rows, "n int, p double"))
+    edge = lambda p: min(400, math.floor(-math.log2(max(p, 1e-40)) * secrets.BINS))
+    want = {}
+    for c in {int(math.log2(n)) for n, _ in rows}:
+        bins = sorted((edge(p) for n, p in rows if int(math.log2(n)) == c), reverse=True)
+        passed = [b for k, b in enumerate(bins, 1) if 2 ** (-b / secrets.BINS) <= secrets.FDR * k / len(bins)]
+        if passed:
+            want[c] = min(passed)
+    assert got == want and len(want) >= 3
+
+
+def test_many_matches_in_one_text(spark):
+    rng = random.Random(10)
+    text = " ".join(rng.choice(["token=abcdefgh%d", "AKIA%dABCDEFGHIJKL", "secret: 'k%dpqrstuvw'", "deadbeef%dcafe0123456789abcdef0123456789abcdef"]) % rng.randrange(10, 99) for _ in range(30_000))
+    out = secrets.report(secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    want = brute(text)
+    assert out.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest() and out.n_assign + out.n_access + out.n_hex == len(want) > 25_000
