@@ -33,16 +33,15 @@ def test_filters_hold_before_the_dense_top_k(spark):
 
 def test_comparisons_get_the_other_version_and_what_changes_speak_of(spark):
     kinds = {"source_path": "string", "parent_path": "string", "parent_chunk_id": "string", "section_title": "string", "status": "string", "valid_until": "date", "valid_from": "date", "line_num": "int", "page_num": "int", "ingest_seq": "int"}
-    rows = [(f"{name}@v{v}", f"text of {name} {v}", "s", f"doc > {name}", f"v{v}", v, [1.0, 0.01 * v] if name == "near" else [0.0, 1.0]) for name in ("near", "far", "other") for v in (1, 2)]
-    rows += [(f"filler{i}", "x", "s", f"doc > f{i}", "v2", 2, [1.0, 0.001 * i]) for i in range(20)]
+    rows = [(f"{name}@v{v}", f"text of {name} {v}", "s", f"doc > {name}", f"{v}.5-x", v, ([1.0, 0.0] if v == 1 else [0.5, 1.0]) if name == "near" else [0.0, 1.0]) for name in ("near", "far", "other") for v in (1, 2)]
+    rows += [(f"filler{i}", "x", "s", f"doc > f{i}", "2.5-x", 2, [1.0, 0.001 * i + 0.001]) for i in range(20)]
     p = spark.createDataFrame(rows, "chunk_id string, text string, source_id string, hierarchy_path string, version_tag string, version_order int, vector array<double>")
     for c, kind in kinds.items():
         p = p.withColumn(c, F.lit(None).cast(kind))
     p = answer.settle(p)
-    q = spark.createDataFrame([(1, "What is the difference between v1-x and v2-x", [1.0, 0.0])], "query_id long, question string, vector array<double>")
-    changes = spark.createDataFrame([("c1", "s", "v1-x", "v2-x", "doc > far", [1.0, 0.0]), ("c2", "s", "v1-x", "v9", "doc > other", [1.0, 0.0])], "chunk_id string, source_id string, version_from string, version_to string, hierarchy_path string, vector array<double>")
-    tagged = answer.settle(p.withColumn("version_tag", F.concat("version_tag", F.lit("-x"))))
-    got = [r.chunk_id for r in answer.retrieve(q, tagged, None, ["v1-x", "v2-x"], top=100, strategy="dense", change_points=answer.settle(changes)).collect()]
+    q = spark.createDataFrame([(1, "What is the difference between 1.5-x and 2.5-x", [1.0, 0.0])], "query_id long, question string, vector array<double>")
+    changes = spark.createDataFrame([("c1", "s", "1.5-x", "2.5-x", "doc > far", [1.0, 0.0]), ("c2", "s", "1.5-x", "9", "doc > other", [1.0, 0.0])], "chunk_id string, source_id string, version_from string, version_to string, hierarchy_path string, vector array<double>")
+    got = [r.chunk_id for r in answer.retrieve(q, p, None, ["1.5-x", "2.5-x"], top=100, strategy="dense", change_points=answer.settle(changes)).collect()]
     assert len(got) == len(set(got)) and {"near@v1", "near@v2", "far@v1", "far@v2"} <= set(got) and not {"other@v1", "other@v2"} & set(got)
 
 
