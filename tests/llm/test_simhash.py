@@ -163,3 +163,35 @@ def test_stage_drops_copies_with_edited_words(spark):
     edited = [w if i % 100 else "other" for i, w in enumerate(words)]
     docs = spark.createDataFrame([(3, " ".join(words)), (5, " ".join(edited)), (7, " ".join(words[::-1])), (None, " ".join(words))], "doc_id long, text string")
     assert sorted(r.doc_id or 0 for r in module.distinct_texts(docs).collect()) == [0, 3, 7]
+
+
+def test_no_link_at_the_line_is_left_out(spark):
+    """Siblings whose pairs lie on both sides of the threshold: a pair just under it may be the nearer by its differing bits."""
+    rng = random.Random(11)
+    rows = []
+    for g in range(40):
+        base = [f"g{g}w{i}" for i in range(240)]
+        for k in range(30):
+            text = list(base)
+            for p in rng.sample(range(240), rng.randrange(3, 8)):
+                text[p] = f"own{g}x{k}x{p}"
+            rows.append((1000 * g + k, " ".join(text)))
+    want = jaccard_groups(rows)
+    got = {r.id: r.component for r in near_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(set(want.values())) > 100 and got == want
+
+
+def test_pairs_that_share_a_shingle():
+    rng = np.random.default_rng(3)
+    size = rng.integers(5, 40, 300)
+    s, key = rng.integers(0, 40, 2000), rng.integers(0, 300, 2000)
+    comp, n = np.where(key < 60, 7, 0), size[key]
+    at = (key * 31 + s) % 5
+    want = set()
+    for i in range(2000):
+        for j in range(2000):
+            if s[i] == s[j] and key[i] < key[j] and key[j] >= 60 and min(n[i], n[j]) >= 0.8 * max(n[i], n[j]) - 1e-9 and 1.8 * min(n[i] - at[i], n[j] - at[j]) >= 0.8 * (n[i] + n[j]) - 1e-6:
+                want.add((int(key[i]), int(key[j])))
+    key = key + 1000
+    got = {(int(u) - 1000, int(v) - 1000) for a, b in module._sharing(s, key, comp, n, at, 0.8) for u, v in zip(a, b)}
+    assert got == want and len(want) > 50

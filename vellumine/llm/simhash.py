@@ -1,12 +1,13 @@
 """SimHash near-duplicates: fingerprints linked by binary-trie self-joins.
 
 `near_duplicates` links 64-bit fingerprints of three-word shingles within three bits. `near_texts` links texts whose five-word
-shingle sets have a Jaccard similarity of 0.8 or more: fingerprints of 256 bits, tries over several choices of their bits, and
-the pairs that a component hangs on verified on the sets.
+shingle sets have a Jaccard similarity of 0.8 or more: fingerprints of 256 bits and tries over several choices of their bits join
+what is close at once, and an exact join on the sets' rarest shingles gives every other pair; all are verified on the sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -61,6 +62,8 @@ _rng = np.random.default_rng(9)
 WIDE = Tries(tuple(tuple(int(x) for x in _rng.permutation(64 * WORDS)[:128]) for _ in range(24)), ((8, 1), (16, 2), (24, 3), (32, 5), (64, 14)), 17)
 #: Rounds in which the nearest link of each group is verified, before all the rest are.
 ROUNDS = 2
+#: Texts, about, that show how common a shingle is, and in how many of them it is counted from. They settle an order only, not what is found.
+SAMPLE, SEEN = 8_000, 4
 _PLACE = _rng.integers(0, 1 << 63, 16, np.uint64) * np.uint64(2) + np.uint64(1)
 _SPREAD = _rng.integers(0, 1 << 63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -384,6 +387,120 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "key long, of array<long>")
 
 
+def _common(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that SEEN of about SAMPLE texts of docs (id, h, t) hold, sorted, and in how many; at most SAMPLE / SEEN texts' worth of them."""
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                sets = [shingles(t.as_py(), size) for t in b.column(0).slice(at, 512)]
+                s, n = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.RecordBatch.from_arrays([_long(s), pa.array(n)], ["s", "n"])
+
+    some = docs.where(F.pmod(F.xxhash64("id", "h"), F.lit(1 << 24)) < share * float(1 << 24))
+    got = some.select("t").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= SEEN).toArrow()
+    s, n = got.column("s").to_numpy().view(np.uint64), got.column("n").to_numpy()
+    order = np.argsort(s)
+    return s[order], n[order]
+
+
+def _prefixes(docs: DataFrame, size: int, jaccard: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """docs (id, h, t) -> (s, key, n, at): the shingles of a set of n, rarest first, of which sets that are alike share one; at: its place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, often = common
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                parts, keys, sizes = [], [], []
+                for t in b.column(0).slice(at, 256):
+                    s = shingles(t.as_py(), size)
+                    if not len(s):
+                        continue
+                    keys.append(xxhash.xxh64_intdigest(s.tobytes()))
+                    sizes.append(len(s))
+                    if len(known):
+                        k = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                        s = s[np.argsort(np.where(known[k] == s, often[k], 0), kind="stable")]  # of equal counts the lesser hash first
+                    parts.append(s[: len(s) - math.ceil(jaccard * len(s) - 1e-9) + 1])
+                if parts:
+                    m = np.array([len(x) for x in parts])
+                    place = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                    of = [np.repeat(np.array(keys, np.uint64), m), np.repeat(np.array(sizes, np.int32), m)]
+                    yield pa.RecordBatch.from_arrays([_long(np.concatenate(parts)), _long(of[0]), pa.array(of[1]), pa.array(place.astype(np.int32))], ["s", "key", "n", "at"])
+
+    return docs.select("t").mapInArrow(run, "s long, key long, n int, at int")
+
+
+def _sharing(s: np.ndarray, key: np.ndarray, comp: np.ndarray, n: np.ndarray, at: np.ndarray, jaccard: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of keys in different components that share a shingle s and whose sizes n and places of it allow the similarity."""
+    order = np.lexsort((key, n, s))
+    s, key = s[order], key[order]
+    once = np.concatenate([[True], (s[1:] != s[:-1]) | (key[1:] != key[:-1])])  # a copy's row is the same row
+    s, key, order = s[once], key[once], order[once]
+    comp, n, at = (x[order] for x in (comp, n, at))
+    comp = np.where(comp == 0, key, comp)
+    start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    m = np.diff(start, append=len(s))
+    several = np.minimum.reduceat(comp, start) < np.maximum.reduceat(comp, start)
+    end = np.repeat(start + m, m)
+    i, d = np.flatnonzero(np.repeat(several, m)), 0
+    left = n - at
+    while len(i):  # each row with the d-th after it; sizes ascend, so one that is too great stays so
+        d += 1
+        i = i[i + d < end[i]]
+        i = i[n[i] >= jaccard * n[i + d] - 1e-9]
+        j = i + d
+        ok = (comp[i] != comp[j]) & (np.minimum(left[i], left[j]) >= jaccard / (1 + jaccard) * (n[i] + n[j]) - 1e-9)
+        if ok.any():
+            a, b = key[i[ok]], key[j[ok]]
+            yield np.minimum(a, b), np.maximum(a, b)
+
+
+def _between(docs: DataFrame, named: DataFrame, size: int, jaccard: float) -> DataFrame:
+    """Pairs (u, v) of keys of docs (id, h, t) that may have the similarity, all of those that go between components (node, component).
+
+    Sets of that similarity share one of their first shingles in any one order. In the order here rare ones come first, so few others do.
+    """
+    rows = _prefixes(docs, size, jaccard, _common(docs, size)).join(small(named.select(F.col("node").alias("key"), F.col("component").alias("c"))), "key", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(parts: list) -> Iterator[pa.RecordBatch]:
+            held, count = [], 0
+            for x in _sharing(*(np.concatenate(c) for c in zip(*parts)), jaccard):
+                held.append(x)
+                count += len(x[0])
+                if count > _PAIRS:
+                    yield batch(held)
+                    held, count = [], 0
+            if held:
+                yield batch(held)
+
+        def batch(held: list) -> pa.RecordBatch:
+            uv = np.unique(np.concatenate([np.stack(x, axis=1) for x in held]), axis=0) if len(held) > 1 else np.stack(held[0], axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(uv[:, k])) for k in (0, 1)], ["u", "v"])
+
+        parts, rows = [], 0  # rows of shingles whose last rows may not have come yet
+        for b in batches:
+            if not b.num_rows:
+                continue
+            own = [c.to_numpy() for c in b.columns]
+            cut = int(np.searchsorted(own[0], own[0][-1]))
+            rows += b.num_rows
+            if rows < 1 << 18 or (cut == 0 and parts):
+                parts.append(own)
+                continue
+            if cut:
+                yield from pairs([*parts, [x[:cut] for x in own]])
+                own = [x[cut:] for x in own]
+            parts, rows = [own], len(own[0])
+        if parts:
+            yield from pairs(parts)
+
+    dealt = rows.select("s", "key", F.coalesce("c", F.lit(0)).alias("c"), "n", "at").repartition("s").sortWithinPartitions("s")
+    return dealt.mapInArrow(run, "u long, v long").distinct()
+
+
 def _alike(pairs: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
     """The pairs (u, v) of keys whose sets have the similarity."""
     both = pairs.join(sets.select(F.col("key").alias("u"), F.col("of").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("of").alias("b")), "v")
@@ -394,10 +511,10 @@ def _alike(pairs: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
 def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", jaccard: float = JACCARD, size: int = SHINGLE) -> DataFrame:
     """(id, h, group, component) of each row: its group and the least id there, h being the 64-bit hash of the text.
 
-    A group is what links of that Jaccard similarity connect, of the sets of `size`-word shingles. The tries give candidate
-    links, which are verified on the sets: each text's nearest one first, then each group's, and then all that still
-    go between groups, so that few links of large groups have to be looked at. A pair at 0.8 is missed with a chance of about 1 in 3,000, more
-    alike ones less; what is further apart is never linked. Equal sets are one node; texts
+    A group is what links of that Jaccard similarity connect, of the sets of `size`-word shingles; no pair at or over it is left out.
+    The tries give candidate links, which are verified on the sets: each text's nearest one first, then each group's, and then those that still
+    go between groups. They are some of the links only, a forest of each bucket by its differing bits, so that few links of large groups have to be
+    looked at. _between() gives all pairs that may yet join two groups, and they are verified too. Equal sets are one node; texts
     without words are copies of each other. Rows of a null id are kept and link nothing (group and component null); rows that
     repeat an id stand for themselves. No rows give no rows; other columns play no part.
     """
@@ -406,10 +523,14 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words = [f"w{k}" for k in range(WORDS)]
     groups = table(sig.where("id is not null").groupBy("key").agg(F.min(F.struct("id", "h")).alias("rep"), *[F.first(w).alias(w) for w in words]), "groups")
     found = table(links(groups.select(F.col("key").alias("node"), *words), WIDE).groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("d").alias("d")), "links")
-    # the texts of keys with links, one for each key
-    picked = groups.join(small(table(found.select(F.explode(F.array("u", "v")).alias("key")).distinct(), "linked")), "key", "left_semi").select("rep.id", "rep.h")
-    texts = own.join(small(table(picked, "picked")), ["id", "h"], "left_semi").select("id", "h", "t")
-    sets = table(_sets(texts, size).groupBy("key").agg(F.first("of").alias("of")), "sets")
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """The sets of the pairs' keys, of one text for each."""
+        picked = groups.join(small(table(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct(), "linked")), "key", "left_semi").select("rep.id", "rep.h")
+        texts = own.join(small(table(picked, "picked")), ["id", "h"], "left_semi").select("id", "h", "t")
+        return table(_sets(texts, size).groupBy("key").agg(F.first("of").alias("of")), "sets")
+
+    sets = sets_of(found)
     left, alike, named = found.select("u", "v", "d", F.col("u").alias("x"), F.col("v").alias("y")), None, None
     for last in [False] * ROUNDS + [True]:
         pick = left.select("u", "v")
@@ -423,6 +544,9 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             of = lambda c: named.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))  # noqa: B023, E731
             left = left.join(pick, ["u", "v"], "left_anti").join(of("u"), "u", "left").join(of("v"), "v", "left")
             left = table(left.select("u", "v", "d", F.coalesce("cu", "u").alias("x"), F.coalesce("cv", "v").alias("y")).where("x <> y"), "left")
+    rest = table(_between(own.where("id is not null"), named, size, jaccard), "between")
+    if rest.limit(1).count():
+        named = components(alike.unionByName(table(_alike(rest, sets_of(rest), jaccard), "alike")))
     label = groups.join(named, groups["key"] == named["node"], "left").select("key", F.coalesce("component", "key").alias("c"), "rep.id")
     label = table(label, "labels")
     least = label.groupBy("c").agg(F.min("id").alias("component"))
