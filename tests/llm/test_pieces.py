@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -105,3 +106,20 @@ def test_texts_that_do_not_round_trip_are_told(spark, monkeypatch):
     monkeypatch.setattr(cp.pieces, "encode", lambda docs: wrong)
     with pytest.raises(Exception, match="don't decode to the text of document 1"):
         cp.encode(spark, None, "").collect()
+
+
+def test_words_are_split_as_the_pattern_does():
+    rng = random.Random(4)
+    texts = ["", " ", "  ", " a", "a ", "a  b", "a b", "a\0 b", "\0", "a　b c", "a\nb c\n"] + ["".join(rng.choice("ab \0\n") for _ in range(rng.randrange(12))) for _ in range(500)]
+    assert all(P._split(" " + t) == P._WORD.findall(" " + t) for t in texts)
+
+
+def test_tables_that_were_used_before_give_the_same(model, monkeypatch):
+    """A store's rows are written over, by words whose pieces end elsewhere."""
+    monkeypatch.setattr(P, "_ROWS", {6: 3, 9: 3, 13: 2, 20: 2, 32: 1})
+    texts = ["internationalisation of xqzvk", "一丁 aaaaaaaaaaaa bb", "q\U0001f600z interesting", "a b c", "somewhatlongerword été zzz"]
+    small, rng = P.Pieces(P._model(P.MODEL)), random.Random(2)
+    for s in range(30):
+        t = rng.choice(texts)
+        got, want = small.sample([t], 2, [s])[0], P.Pieces.sample(model, [t], 2, [s])[0]
+        assert all(np.array_equal(a[0], b[0]) and abs(a[1] - b[1]) < 1e-4 for a, b in zip(got, want)) and len(got) == len(want)

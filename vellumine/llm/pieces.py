@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +25,13 @@ _WORD = re.compile(r" *[^ ]+| +")
 _LATTICES, _CHARS = 12_000, 250_000
 
 
+def _split(text: str) -> list[str]:
+    """_WORD's matches; where spaces stand alone, before and between words, a split gives the same."""
+    if "  " in text or "\0" in text or text[:1] != " " or text[-1:] == " ":
+        return _WORD.findall(text)
+    return text.replace(" ", "\0 ").split("\0")[1:]
+
+
 class _Lattice:
     """All segmentations of a word: edges into each place, and the log of the mass of all paths to it."""
 
@@ -132,11 +141,8 @@ class _Store:
             new.sort(key=len, reverse=True)
             first = len(self.at)
             part = slice(first, first + len(new))
-            for whole, own in zip(self.arrays, pieces._tables(new, self.width)):
-                if whole.ndim == 3:
-                    whole[:, part] = own
-                else:
-                    whole[part] = own
+            share, ids, mass, _ = self.arrays
+            mass[part] = pieces._tables(new, self.width, share[:, part], ids[:, part])
             self.arrays[3][part] = np.fromiter(map(len, new), np.int64, len(new))
             self.at.update(zip(new, range(first, first + len(new))))
         return list(map(self.at.__getitem__, words))
@@ -146,10 +152,9 @@ class _Words:
     """The distinct words of some texts, with the tables of their lattices by width."""
 
     def __init__(self, pieces: "Pieces", parts: list[list[str]]) -> None:
-        every = [w for p in parts for w in p]
-        self.words = list(dict.fromkeys(every))
-        number = dict(zip(self.words, range(len(self.words))))
-        self.word = np.fromiter(map(number.__getitem__, every), np.int64, len(every))
+        number: dict[str, int] = defaultdict(itertools.count().__next__)
+        self.word = np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(parts)), np.int64, sum(map(len, parts)))
+        self.words = list(number)
         size = np.fromiter(map(len, self.words), np.int64, len(self.words))
         self.width, self.place = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
         self.tables, self.long, low = {}, {}, 0
@@ -248,9 +253,9 @@ class Pieces:
     def _lookup(self, h: np.ndarray) -> np.ndarray:
         """Number in self.kept of each hash, -1 if it is no piece's."""
         table, mult = self.slots[0]
-        out = table[(h * mult) >> _SHIFT]
+        out = table.take(((h * mult) >> _SHIFT).view(np.int64))
         taken = np.flatnonzero(out >= 0)  # an empty slot has turned nothing away
-        other = taken[self.hashes[out[taken]] != h[taken]]
+        other = taken[self.hashes.take(out.take(taken)) != h.take(taken)]
         out[other] = -1
         for table, mult in self.slots[1:]:
             at = table[(h[other] * mult) >> _SHIFT]
@@ -259,15 +264,15 @@ class Pieces:
             other = other[(at >= 0) & ~hit]
         return out
 
-    def _tables(self, words: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For words of up to `width` characters: into each place, by length of the piece, the cumulative chance, the piece and
-        its log weight (places x words x lengths); and the log of all segmentations' mass of each word."""
+    def _tables(self, words: list[str], width: int, share: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """For words of up to `width` characters, written to share and ids: into each place, by length of the piece, the cumulative chance and the
+        piece (places x words x lengths; what is no piece has no chance, and its id may be anything). Returned: the log of all segmentations' mass of each word."""
         n, most = len(words), min(width, self.longest)
         size = np.fromiter(map(len, words), np.int64, len(words))  # longest first, so that the words that reach a place come first
         chars = np.zeros((n, width), np.uint64)
         chars[np.arange(width) < size[:, None]] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32) + np.uint64(1)  # so that no character is zero
         chars = np.ascontiguousarray(chars.T)
-        ids, weight = np.zeros((width + 1, n, most), np.int32), np.full((width + 1, most, n), -np.inf, np.float32)
+        weight = np.full((width + 1, most, n), -np.inf, np.float32)
         reach = np.searchsorted(-size, -np.arange(width + 2), side="right")  # words of so many characters or more
         h: list[np.ndarray] = []  # of the piece so far, by its start
         for length in range(1, most + 1):
@@ -287,15 +292,15 @@ class Pieces:
                 f = found[at : at + len(own)]
                 at += len(own)
                 row = np.flatnonzero(f >= 0)
-                ids[i + length, row, length - 1] = self.kept[f[row]]
-                weight[i + length, length - 1, row] = self.kept_weight[f[row]]
+                hit = f.take(row)
+                ids[i + length, row, length - 1] = self.kept.take(hit)
+                weight[i + length, length - 1, row] = self.kept_weight.take(hit)
                 if length == 1 and len(row) < len(f):  # characters outside the vocabulary: their bytes as one edge, unfolded later
                     lost = np.flatnonzero(f < 0)
                     c = own[lost].astype(np.int64) - 1
                     ids[i + 1, lost, 0] = np.where(c < 128, self.ascii[c & 127], -c - 1)
                     weight[i + 1, 0, lost] = self.rare * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
         mass = np.zeros((width + 1, n), np.float32)
-        share = np.full((width + 1, n, most), 2.0, np.float32)
         for j in range(1, width + 1):
             r, m = reach[j], min(j, most)
             if not r:
@@ -303,10 +308,13 @@ class Pieces:
             v = mass[j - m : j, :r][::-1] + weight[j, :m, :r]
             top = v.max(axis=0)
             v -= top
-            c = np.cumsum(np.exp(v, out=v), axis=0)
-            mass[j, :r] = top + np.log(c[-1])
-            share[j, :r, :m] = (c / c[-1]).T
-        return share, ids, mass[size, np.arange(n)]
+            np.exp(v, out=v)
+            for i in range(1, m):  # running sums, row by row
+                v[i] += v[i - 1]
+            mass[j, :r] = top + np.log(v[-1])
+            v /= v[-1].copy()
+            share[j, :r, :m], share[j, :r, m:] = v.T, 2.0
+        return mass[size, np.arange(n)]
 
     def _draw(self, group: "_Words", tokens: np.ndarray, seeds: np.ndarray, out: np.ndarray, count: np.ndarray, logp: np.ndarray) -> None:
         """Segment each of the tokens by its word's lattice, last piece first into out, with its number of pieces and log probability."""
@@ -320,18 +328,18 @@ class Pieces:
             at, row = np.arange(len(t)), w
             while len(at):
                 here = row + j * rows
-                passed = share[here] <= np.minimum(_uniform(seed, step), 0.9999999)[:, None].astype(np.float32)
+                passed = share.take(here, axis=0) <= np.minimum(_uniform(seed, step), 0.9999999)[:, None].astype(np.float32)
                 k = np.minimum(np.einsum("ij->i", passed.view(np.uint8)).astype(np.int64), np.minimum(j, most) - 1)
                 pick = here * most + k
-                piece = ids[pick]
-                out[step, t[at]] = piece
-                total[at] += self.by_id[np.maximum(piece, -0x10001)]
+                piece = ids.take(pick)
+                out[step, t.take(at)] = piece
+                total[at] += self.by_id.take(np.maximum(piece, -0x10001), mode="wrap")
                 n[at] += 1
                 j = j - k - 1
                 step += 1
                 go = np.flatnonzero(j > 0)
                 if len(go) < len(at):
-                    at, row, j, seed = at[go], row[go], j[go], seed[go]
+                    at, row, j, seed = (x.take(go) for x in (at, row, j, seed))
             logp[t], count[t] = total, n
         for i in tokens[wide == 0].tolist():  # words too long for the tables
             rng = np.random.Generator(np.random.SFC64(int(seeds[i])))
@@ -348,7 +356,7 @@ class Pieces:
         member is drawn, and the rest of it is split by the word at which it first differs. The texts take their steps together.
         The chance of inclusion is 1 - exp(-exp(log probability - threshold)), the threshold being the (k + 1)-th value; 1 where all were emitted.
         """
-        parts = [_WORD.findall(" " + t) for t in texts]
+        parts = [_split(" " + t) for t in texts]
         if not parts:
             return []
         group = _Words(self, parts)
