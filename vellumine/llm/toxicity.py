@@ -112,7 +112,7 @@ def _pair_counts(docs: DataFrame, index: dict[str, int]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], ["code", "n"])
 
     sums = docs.select("t").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    return table(sums.select(F.expr(f"cast(code div {v} as int)").alias("i"), F.expr(f"cast(code % {v} as int)").alias("j"), "n"), "pairs")
+    return _both(table(sums.select(F.expr(f"cast(code div {v} as int)").alias("i"), F.expr(f"cast(code % {v} as int)").alias("j"), "n"), "pairs"), "n")
 
 
 def _both(pairs: DataFrame, *values: str) -> DataFrame:
@@ -121,13 +121,13 @@ def _both(pairs: DataFrame, *values: str) -> DataFrame:
 
 
 def _edges(pairs: DataFrame) -> DataFrame:
-    """pairs (i < j, n) -> (i, j, p): chance that the walk goes from i to j, in proportion to positive pointwise mutual information.
+    """pairs (i, j, n), each either way -> (i, j, p): chance that the walk goes from i to j, in proportion to positive pointwise mutual information.
 
     Each pair is weighed and written once; what goes out of a node is joined from a row for each node.
     """
-    ends = _both(pairs, "n").groupBy("i").agg(F.sum("n").alias("m"))  # a row for each node
+    ends = pairs.groupBy("i").agg(F.sum("n").alias("m"))  # a row for each node
     total = ends.agg(F.sum("m")).first()[0] or 1
-    both = pairs.join(small(ends), "i").join(small(ends.select(F.col("i").alias("j"), F.col("m").alias("mj"))), "j")
+    both = pairs.where("i < j").join(small(ends), "i").join(small(ends.select(F.col("i").alias("j"), F.col("m").alias("mj"))), "j")
     w = table(both.select("i", "j", F.log(F.col("n") * F.lit(float(total)) / (F.col("m").cast("double") * F.col("mj"))).alias("w")).where("w > 0"), "graph")
     out = _both(w, "w").groupBy("i").agg(F.sum("w").alias("out"))
     return _both(w, "w").join(small(table(out, "out")), "i").select("i", "j", (F.col("w") / F.col("out")).alias("p"))
