@@ -59,3 +59,38 @@ def test_null_ids_and_repeated_rows_pass_through(spark):
 def test_run_is_the_stages(spark, steps):
     same = lambda df: sorted((r.doc_id, [list(s.pieces) for s in r.samples]) for r in df.collect())
     assert same(cp.run(spark, SF)) == same(steps[-1])
+
+
+def test_workers_give_back_memory_when_a_task_is_done():
+    import pathlib
+    import re
+
+    import pyarrow as pa
+
+    from vellumine.llm.common import lean
+
+    if not pathlib.Path("/proc/self/smaps_rollup").exists():
+        pytest.skip("memory can't be read here")
+    held = lambda: sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", pathlib.Path("/proc/self/smaps_rollup").read_text()))) >> 10
+
+    def run(batches):
+        for b in batches:
+            own = [bytes(600) for _ in range(200_000)]  # over what Python's own arenas take: from the C library's heap
+            yield pa.array(own)
+        own = own[::1000]
+
+    before = held()
+    assert sum(len(x) for x in lean(run)(iter(range(3)))) == 600_000
+    assert held() < before + 60
+
+
+def test_pieces_keep_no_words_after_a_task(spark):
+    from vellumine.llm import pieces
+
+    model = pieces.Pieces(pieces._model(pieces.MODEL))
+    first = model.sample(["some words of a text"], 2, [1])
+    model.forget()
+    again = model.sample(["some words of a text"], 2, [1])
+    assert all((a[0] == b[0]).all() and a[1:] == b[1:] for a, b in zip(first[0], again[0]))
+    model.forget()
+    assert not model.stores and not model.lattices

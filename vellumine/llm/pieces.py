@@ -16,6 +16,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellumine.llm.common import lean
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, ALPHA = 2, 1.0
 _SPACE = "▁"
@@ -237,6 +239,10 @@ class Pieces:
                 self.lattices[word] = found
         return found
 
+    def forget(self) -> None:
+        """Drop what is kept of words met, for an idle worker to be small; it can be made again at any time."""
+        self.lattices, self.stores = {}, {}
+
     @staticmethod
     def _hash(piece: str) -> int:
         h = 0
@@ -496,6 +502,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     """
     proto = _model(model)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(proto, alpha)
         for b in batches:
@@ -516,6 +523,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                 nulls = [None if texts[i] is None else int(ends[i]) for i in range(len(texts))] + [int(ends[-1])]
                 exact = [all(pieces.decodes(x[0], t) for x in got[i]) if verify and t is not None else None for i, t in enumerate(texts)]
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.ListArray.from_arrays(pa.array(nulls, pa.int32()), inner), pa.array(exact, pa.bool_())], ["key", "samples", "exact"])
+        pieces.forget()
 
     schema = "key string, samples array<struct<pieces:array<int>,log_prob:double,perturbed:double,inclusion:double>>, exact boolean"
     return docs.select(F.col(id_col).cast("string").alias("key"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, schema)

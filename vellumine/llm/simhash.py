@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumine.llm.common import small, table
+from vellumine.llm.common import lean, small, table
 from vellumine.llm.components import components
 
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
@@ -116,6 +116,7 @@ def _long(x: np.ndarray) -> pa.Array:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp long): one row for each input row."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter(map(simhash, b.column(1).to_pylist()), np.uint64, b.num_rows)
@@ -313,6 +314,7 @@ def links(nodes: DataFrame, tries: Tries, bucket_rows: int = BUCKET_ROWS, most:
 
     masks = [m for m in range(1, 1 << bits) if fits(m)]
 
+    @lean
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
@@ -362,6 +364,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _signed(docs: DataFrame, size: int) -> DataFrame:
     """docs (id, h, t binary) -> (id, h, key, w0..w3): a hash of the shingle set, and its fingerprint."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             key, fp = np.zeros(b.num_rows, np.uint64), np.zeros((b.num_rows, WORDS), np.uint64)
@@ -376,6 +379,7 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
 def _sets(docs: DataFrame, size: int) -> DataFrame:
     """docs (id, h, t) -> (key, of): the set of each key, once."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 512):
@@ -391,6 +395,7 @@ def _common(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that SEEN of about SAMPLE texts of docs (id, h, t) hold, sorted, and in how many; at most SAMPLE / SEEN texts' worth of them."""
     share = min(1.0, SAMPLE / max(1, docs.count()))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 512):
@@ -408,6 +413,7 @@ def _common(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 def _prefixes(docs: DataFrame, size: int, jaccard: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """docs (id, h, t) -> (s, key, n, at): the shingles of a set of n, rarest first, of which sets that are alike share one; at: its place."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = common
         for b in batches:
@@ -464,6 +470,7 @@ def _between(docs: DataFrame, named: DataFrame, size: int, jaccard: float) -> Da
     """
     rows = _prefixes(docs, size, jaccard, _common(docs, size)).join(small(named.select(F.col("node").alias("key"), F.col("component").alias("c"))), "key", "left")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(parts: list) -> Iterator[pa.RecordBatch]:
             held, count = [], 0

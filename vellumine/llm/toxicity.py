@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellumine.llm.common import small, table
+from vellumine.llm.common import lean, small, table
 from vellumine.llm.labelled import labels_of, prior_shift, rates, thin
 
 #: A word or stem is a node if it is in this share of the documents and in LEAST of them, or if the labels speak of it whatever its
@@ -60,6 +60,7 @@ class _Index(dict):
 def _document_counts(docs: DataFrame) -> DataFrame:
     """docs (t, label) -> (word, n, toxic, clean): documents that hold the word or stem; the word '' counts all documents."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(every: Counter, by: dict[int, Counter]) -> pa.RecordBatch:
             w = list(every)
@@ -85,13 +86,20 @@ def _pair_counts(docs: DataFrame, index: dict[str, int]) -> DataFrame:
     """docs (t) -> (i, j, n): how often node j is next to node i, either way; each task sums its own pairs first."""
     v = len(index)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         at_word = _Index(index, -1).__getitem__
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
-            codes, where = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
-            return codes, np.bincount(where, np.concatenate([n for _, n in held])).astype(np.int64)
+            codes, counts = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            order = np.argsort(codes)
+            codes = codes[order]
+            counts = counts[order]
+            del order
+            first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
+            return codes[first], np.add.reduceat(counts, first) if len(codes) else counts
 
         for b in batches:
             for at in range(0, b.num_rows, 256):
@@ -104,10 +112,9 @@ def _pair_counts(docs: DataFrame, index: dict[str, int]) -> DataFrame:
                 x, y = s[:-1][ok], s[1:][ok]
                 held.append(np.unique(np.minimum(x, y) * v + np.maximum(x, y), return_counts=True))
                 if sum(len(c) for c, _ in held) > _HELD:
-                    held = [merged()]
+                    held.append(merged())
                     if len(held[0][0]) > _HELD // 2:
-                        yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1])], ["code", "n"])
-                        held = []
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.pop()], ["code", "n"])
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], ["code", "n"])
 
@@ -248,6 +255,7 @@ def scorer(docs: DataFrame, labels: DataFrame, label_col: str, keep: Column, id_
     shares = rates(known, rows, F.col("__label"))
     picked = F.broadcast(thin(known, "__id", rows, F.col("__label"), shares))  # twice `rows` and a few
 
+    @lean
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             f = [figures(polarity, t.as_py()) for t in b.column(1)]
