@@ -195,3 +195,14 @@ def test_pairs_that_share_a_shingle():
     key = key + 1000
     got = {(int(u) - 1000, int(v) - 1000) for a, b in module._sharing(s, key, comp, n, at, 0.8) for u, v in zip(a, b)}
     assert got == want and len(want) > 50
+
+
+def test_parities_differ_in_no_more_places_than_the_sets():
+    rng = np.random.default_rng(5)
+    every = rng.integers(0, 1 << 63, 3000).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    for n in (0, 1, 5, 300, 2500):
+        for cut in (0, 1, 40, 400):
+            a, b = np.unique(every[:n]), np.unique(every[cut : n + cut // 2])
+            differ = len(np.setxor1d(a, b))
+            got = int(np.bitwise_count(module.odd(a) ^ module.odd(b)).sum())
+            assert got <= differ and (differ > 40 or got >= differ // 2) and (differ - got) % 2 == 0

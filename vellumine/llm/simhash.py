@@ -63,7 +63,9 @@ WIDE = Tries(tuple(tuple(int(x) for x in _rng.permutation(64 * WORDS)[:128]) for
 #: Rounds in which the nearest link of each group is verified, before all the rest are.
 ROUNDS = 2
 #: Texts, about, that show how common a shingle is, and in how many of them it is counted from. They settle an order only, not what is found.
-SAMPLE, SEEN = 8_000, 4
+SAMPLE, SEEN = 8_000, 8
+#: Words of a set's parities.
+ODD = 8
 _PLACE = _rng.integers(0, 1 << 63, 16, np.uint64) * np.uint64(2) + np.uint64(1)
 _SPREAD = _rng.integers(0, 1 << 63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -109,6 +111,12 @@ def wide(s: np.ndarray) -> np.ndarray:
     return np.packbits(ones * 2 > len(s), bitorder="little").view(np.uint64)
 
 
+def odd(s: np.ndarray) -> np.ndarray:
+    """Of a set of shingles, for each of 64 * ODD places whether an odd number falls there: two sets' differ in no more places than the sets in shingles."""
+    place = (s * _MIX) >> np.uint64(64 - (64 * ODD - 1).bit_length())
+    return np.packbits(np.bincount(place.astype(np.int64), minlength=64 * ODD) & 1, bitorder="little").view(np.uint64)
+
+
 def _long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
@@ -362,18 +370,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _signed(docs: DataFrame, size: int) -> DataFrame:
-    """docs (id, h, t binary) -> (id, h, key, w0..w3): a hash of the shingle set, and its fingerprint."""
+    """docs (id, h, t binary) -> (id, h, key, n, w0..w3, o0..): a hash of the shingle set, its size, its fingerprint and its parities."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key, fp = np.zeros(b.num_rows, np.uint64), np.zeros((b.num_rows, WORDS), np.uint64)
+            key, n, fp = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.int32), np.zeros((b.num_rows, WORDS + ODD), np.uint64)
             for i, t in enumerate(b.column(2)):
                 s = shingles(t.as_py(), size)
-                key[i], fp[i] = xxhash.xxh64_intdigest(s.tobytes()), wide(s)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _long(key), *map(_long, fp.T)], ["id", "h", "key", *(f"w{k}" for k in range(WORDS))])
+                key[i], n[i], fp[i, :WORDS], fp[i, WORDS:] = xxhash.xxh64_intdigest(s.tobytes()), len(s), wide(s), odd(s)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _long(key), pa.array(n), *map(_long, fp.T)], ["id", "h", "key", "n", *words])
 
-    return docs.mapInArrow(run, "id long, h long, key long, " + ", ".join(f"w{k} long" for k in range(WORDS)))
+    words = [*(f"w{k}" for k in range(WORDS)), *(f"o{k}" for k in range(ODD))]
+    return docs.mapInArrow(run, "id long, h long, key long, n int, " + ", ".join(f"{w} long" for w in words))
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -527,8 +536,8 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("binary").alias("t"))
     sig = table(_signed(own, size), "simhash")
-    words = [f"w{k}" for k in range(WORDS)]
-    groups = table(sig.where("id is not null").groupBy("key").agg(F.min(F.struct("id", "h")).alias("rep"), *[F.first(w).alias(w) for w in words]), "groups")
+    words, odds = [f"w{k}" for k in range(WORDS)], [f"o{k}" for k in range(ODD)]
+    groups = table(sig.where("id is not null").groupBy("key").agg(F.min(F.struct("id", "h")).alias("rep"), *[F.first(w).alias(w) for w in ("n", *words, *odds)]), "groups")
     found = table(links(groups.select(F.col("key").alias("node"), *words), WIDE).groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("d").alias("d")), "links")
 
     def sets_of(pairs: DataFrame) -> DataFrame:
@@ -551,9 +560,14 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             of = lambda c: named.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))  # noqa: B023, E731
             left = left.join(pick, ["u", "v"], "left_anti").join(of("u"), "u", "left").join(of("v"), "v", "left")
             left = table(left.select("u", "v", "d", F.coalesce("cu", "u").alias("x"), F.coalesce("cv", "v").alias("y")).where("x <> y"), "left")
-    rest = table(_between(own.where("id is not null"), named, size, jaccard), "between")
+    # of those pairs, the ones whose sets' parities don't rule out that they differ in so few shingles
+    of = lambda c: groups.select(F.col("key").alias(c), F.struct("n", *odds).alias(f"o{c}"))
+    rest = _between(own.where("id is not null"), named, size, jaccard).join(of("u"), "u").join(of("v"), "v")
+    apart = sum((F.bit_count(F.col(f"ou.{w}").bitwiseXOR(F.col(f"ov.{w}"))) for w in odds), F.lit(0))
+    rest = table(rest.where(apart <= (1 - jaccard) / (1 + jaccard) * (F.col("ou.n") + F.col("ov.n")) + 1e-9).select("u", "v"), "between")
     if rest.limit(1).count():
-        named = components(alike.unionByName(table(_alike(rest, sets_of(rest), jaccard), "alike")))
+        joined = named.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        named = components(joined.unionByName(table(_alike(rest, sets_of(rest), jaccard), "alike")))
     label = groups.join(named, groups["key"] == named["node"], "left").select("key", F.coalesce("component", "key").alias("c"), "rep.id")
     label = table(label, "labels")
     least = label.groupBy("c").agg(F.min("id").alias("component"))
