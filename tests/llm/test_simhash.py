@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from vellumine.llm import common
 from vellumine.llm.components import components
 from vellumine.llm import simhash as module
 from vellumine.llm.simhash import forest, near_duplicates, near_texts, simhash, trie_pairs
@@ -206,3 +207,35 @@ def test_parities_differ_in_no_more_places_than_the_sets():
             differ = len(np.setxor1d(a, b))
             got = int(np.bitwise_count(module.odd(a) ^ module.odd(b)).sum())
             assert got <= differ and (differ > 40 or got >= differ // 2) and (differ - got) % 2 == 0
+
+
+def test_fine_parities_differ_in_no_more_places_than_the_sets():
+    rng = np.random.default_rng(5)
+    for n, extra in ((0, 3), (1, 0), (100, 20), (500, 100), (127, 2), (4000, 300), (8190, 5)):  # some on either side of a power of two
+        s = np.unique(rng.integers(0, 1 << 63, n + 2 * extra, np.uint64))
+        a, b = s[: n + extra], np.concatenate([s[:n], s[n + extra :]])
+        far = module.differing(module.fine(a), module.fine(b))
+        assert far == module.differing(module.fine(b), module.fine(a)) <= 2 * extra and (far > extra or extra < 10)
+        assert module.differing(module.fine(a), module.fine(a)) == 0
+
+
+def test_sets_are_written_only_of_texts_that_may_be_alike(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    base = [word() for _ in range(2400)]
+    texts = [base + [word() for _ in range(1600)] for _ in range(6)]  # long ones that share a passage, at about 0.43
+    texts.append([*texts[0][:-1], "other"])
+    inner, rows = module.table, {"sets": 0, "between": 0}
+
+    def told(df, name="part"):
+        out = inner(df, name)
+        if name in rows:
+            rows[name] += out.count()
+        return out
+
+    monkeypatch.setattr(module, "table", told)
+    before = common.written()
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in module.distinct_texts(df).collect()) == list(range(6))
+    assert rows["between"] >= 15 and rows["sets"] == 2  # before, those of all seven were written
+    assert common.written() == before + 1  # and so did all tables stay until the end

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumine.llm.common import lean, small, table
+from vellumine.llm.common import drop_tables, free_shuffles, lean, small, table, written
 from vellumine.llm.components import components
 
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
@@ -64,8 +64,8 @@ WIDE = Tries(tuple(tuple(int(x) for x in _rng.permutation(64 * WORDS)[:128]) for
 ROUNDS = 2
 #: Texts, about, that show how common a shingle is, and in how many of them it is counted from. They settle an order only, not what is found.
 SAMPLE, SEEN = 8_000, 8
-#: Words of a set's parities.
-ODD = 8
+#: Words of a set's parities; and places for each shingle of its finer ones, which are made only of sets that those leave in a pair.
+ODD, FINE = 8, 4
 _PLACE = _rng.integers(0, 1 << 63, 16, np.uint64) * np.uint64(2) + np.uint64(1)
 _SPREAD = _rng.integers(0, 1 << 63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -117,6 +117,21 @@ def odd(s: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(place.astype(np.int64), minlength=64 * ODD) & 1, bitorder="little").view(np.uint64)
 
 
+def fine(s: np.ndarray) -> bytes:
+    """The parities of a set over FINE places for each shingle and more, a power of two: half as many are its halves combined."""
+    m = 1 << max(9, (FINE * max(1, len(s)) - 1).bit_length())
+    place = ((s * _MIX) >> np.uint64(32)) & np.uint64(m - 1)
+    return np.packbits(np.bincount(place.astype(np.int64), minlength=m) & 1, bitorder="little").tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """In how many places the fine() of two sets differ, of those that the smaller has: no more than the sets in shingles."""
+    x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
@@ -400,6 +415,34 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "key long, of array<long>")
 
 
+def _fine(docs: DataFrame, size: int) -> DataFrame:
+    """docs (id, h, t) -> (key, n, odd): of each key its set's size and fine()."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = (shingles(t.as_py(), size) for t in b.column(2))
+            rows = [(xxhash.xxh64_intdigest(s.tobytes()), len(s), fine(s)) for s in sets]
+            yield pa.RecordBatch.from_arrays([_long(np.array([r[0] for r in rows], np.uint64)), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["key", "n", "odd"])
+
+    return docs.mapInArrow(run, "key long, n int, odd binary")
+
+
+def _near(pairs: DataFrame, fines: DataFrame, jaccard: float) -> DataFrame:
+    """The pairs (u, v, ..) of keys but for those that fines, _fine() of their keys, prove to be under the similarity."""
+    names = pairs.columns
+    of = lambda c: fines.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"o{c}"))
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            most = (1 - jaccard) / (1 + jaccard) * (b.column("nu").to_numpy().astype(float) + b.column("nv").to_numpy()) + 1e-9
+            ok = [differing(x.as_py(), y.as_py()) <= m for x, y, m in zip(b.column("ou"), b.column("ov"), most)]
+            yield b.select(names).filter(pa.array(ok, pa.bool_()))
+
+    return pairs.join(of("u"), "u").join(of("v"), "v").select(*names, "nu", "nv", "ou", "ov").mapInArrow(run, pairs.schema)
+
+
 def _common(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that SEEN of about SAMPLE texts of docs (id, h, t) hold, sorted, and in how many; at most SAMPLE / SEEN texts' worth of them."""
     share = min(1.0, SAMPLE / max(1, docs.count()))
@@ -529,7 +572,7 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A group is what links of that Jaccard similarity connect, of the sets of `size`-word shingles; no pair at or over it is left out.
     The tries give candidate links, which are verified on the sets: each text's nearest one first, then each group's, and then those that still
-    go between groups. They are some of the links only, a forest of each bucket by its differing bits, so that few links of large groups have to be
+    go between groups. Before sets are written and joined, pairs go that sizes and parities, which are a small part of a set, prove to be under the line. They are some of the links only, a forest of each bucket by its differing bits, so that few links of large groups have to be
     looked at. _between() gives all pairs that may yet join two groups, and they are verified too. Equal sets are one node; texts
     without words are copies of each other. Rows of a null id are kept and link nothing (group and component null); rows that
     repeat an id stand for themselves. No rows give no rows; other columns play no part.
@@ -538,15 +581,29 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sig = table(_signed(own, size), "simhash")
     words, odds = [f"w{k}" for k in range(WORDS)], [f"o{k}" for k in range(ODD)]
     groups = table(sig.where("id is not null").groupBy("key").agg(F.min(F.struct("id", "h")).alias("rep"), *[F.first(w).alias(w) for w in ("n", *words, *odds)]), "groups")
+    since = written()
     found = table(links(groups.select(F.col("key").alias("node"), *words), WIDE).groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("d").alias("d")), "links")
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        """The sets of the pairs' keys, of one text for each."""
+    repeated = sig.where("id is not null").groupBy("id", "h").count().where("count > 1").limit(1).count()
+    odds_of = lambda c: groups.select(F.col("key").alias(c), F.struct("n", *odds).alias(f"o{c}"))
+
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        """(id, h, t) of the pairs' keys, one text for each."""
         picked = groups.join(small(table(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct(), "linked")), "key", "left_semi").select("rep.id", "rep.h")
         texts = own.join(small(table(picked, "picked")), ["id", "h"], "left_semi").select("id", "h", "t")
-        return table(_sets(texts, size).groupBy("key").agg(F.first("of").alias("of")), "sets")
-
-    sets = sets_of(found)
+        return texts.dropDuplicates(["id", "h"]) if repeated else texts
+
+    def looked_at(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The pairs but for those that sizes and parities prove to be under the similarity, and their keys' sets. Sets are large, so few should be written and joined."""
+        both = pairs.join(odds_of("u"), "u").join(odds_of("v"), "v")
+        apart = sum((F.bit_count(F.col(f"ou.{w}").bitwiseXOR(F.col(f"ov.{w}"))) for w in odds), F.lit(0))
+        like = F.least("ou.n", "ov.n") >= jaccard * F.greatest("ou.n", "ov.n") - 1e-9
+        near = table(both.where(like & (apart <= (1 - jaccard) / (1 + jaccard) * (F.col("ou.n") + F.col("ov.n")) + 1e-9)).select(pairs.columns), "near")
+        near = table(_near(near, table(_fine(texts_of(near), size), "fine"), jaccard), "near")
+        free_shuffles(docs.sparkSession)
+        return near, table(_sets(texts_of(near), size), "sets")
+
+    found, sets = looked_at(found)
     left, alike, named = found.select("u", "v", "d", F.col("u").alias("x"), F.col("v").alias("y")), None, None
     for last in [False] * ROUNDS + [True]:
         pick = left.select("u", "v")
@@ -560,14 +617,15 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             of = lambda c: named.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))  # noqa: B023, E731
             left = left.join(pick, ["u", "v"], "left_anti").join(of("u"), "u", "left").join(of("v"), "v", "left")
             left = table(left.select("u", "v", "d", F.coalesce("cu", "u").alias("x"), F.coalesce("cv", "v").alias("y")).where("x <> y"), "left")
-    # of those pairs, the ones whose sets' parities don't rule out that they differ in so few shingles
-    of = lambda c: groups.select(F.col("key").alias(c), F.struct("n", *odds).alias(f"o{c}"))
-    rest = _between(own.where("id is not null"), named, size, jaccard).join(of("u"), "u").join(of("v"), "v")
-    apart = sum((F.bit_count(F.col(f"ou.{w}").bitwiseXOR(F.col(f"ov.{w}"))) for w in odds), F.lit(0))
-    rest = table(rest.where(apart <= (1 - jaccard) / (1 + jaccard) * (F.col("ou.n") + F.col("ov.n")) + 1e-9).select("u", "v"), "between")
+    named = table(named, "named")
+    drop_tables(since, keep=1)
+    free_shuffles(docs.sparkSession)
+    rest = table(_between(own.where("id is not null"), named, size, jaccard), "between")
+    free_shuffles(docs.sparkSession)
+    rest, sets = looked_at(rest)
     if rest.limit(1).count():
         joined = named.select(F.col("node").alias("u"), F.col("component").alias("v"))
-        named = components(joined.unionByName(table(_alike(rest, sets_of(rest), jaccard), "alike")))
+        named = components(joined.unionByName(table(_alike(rest, sets, jaccard), "alike")))
     label = groups.join(named, groups["key"] == named["node"], "left").select("key", F.coalesce("component", "key").alias("c"), "rep.id")
     label = table(label, "labels")
     least = label.groupBy("c").agg(F.min("id").alias("component"))
@@ -579,7 +637,9 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", jaccard: float = JACCARD, size: int = SHINGLE) -> DataFrame:
     """Of each group of near_texts() one row, of the least id; rows of a null id stay. Of a group's rows of that id the text of least hash stays, of equal rows any one."""
+    since = written()
     near = table(near_texts(docs, id_col, text_col, jaccard, size).where("id = component"), "near")
+    drop_tables(since, keep=1)
     kept = near.groupBy("group").agg(F.min(F.struct("id", "h")).alias("r")).select(F.col("r.id").alias("__id"), F.col("r.h").alias("__h"))
     own = docs.withColumn("__own", F.xxhash64(text_col))
     out = own.join(kept, (F.col(id_col) == F.col("__id")) & (F.col("__own") == F.col("__h")), "left_semi")
