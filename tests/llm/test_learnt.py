@@ -1,10 +1,13 @@
 """Quality, language and toxicity: held-out accuracy, odd rows, independence of layout."""
 
+import random
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vellumine.llm import labelled, language, quality, queries, toxicity
+from vellumine.llm import common, labelled, language, quality, queries, toxicity
 from vellumine.llm.common import crc_mod
 
 SF = "/root/testdata/sf0.01"
@@ -141,3 +144,38 @@ def test_scores_mean_the_same_when_labels_are_sampled(spark):
     whole, few = (quality.classify(docs, labels, "quality", F.lit(True), rows=n).first().score for n in (4000, 300))
     assert abs(whole - 0.1) < 0.06 and abs(few - 0.1) < 0.06
     assert labelled.rates(labels, 200, F.col("quality")) == {0: 200 / 3600, 1: 0.5} and abs(labelled.prior_shift({0: 0.25, 1: 1.0}) + np.log(4)) < 1e-9
+
+
+def test_words_are_those_of_the_pattern_and_come_faster():
+    plain = lambda t: toxicity._WORD.findall(t.lower())
+    every = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)
+    texts = [every, "", "a1b_c\x1cd\x85e", "İstanbul ½x² Straße’s naïve", "\ud800lone", *(f"{c}a{c}" for c in every[::97])]
+    assert all(toxicity.tokens(t) == plain(t) for t in texts)
+
+    def least(f, text):
+        took = []
+        for _ in range(15):
+            at = time.perf_counter()
+            f(text)
+            took.append(time.perf_counter() - at)
+        return min(took)
+
+    for text in ("Some words, of a plain text; " * 5000, "Größere Wörter — und “andere” Zeichen. " * 5000):
+        assert least(toxicity.tokens, text) < 0.85 * least(plain, text)
+
+
+def test_figures_against_brute_force():
+    rng = random.Random(4)
+    polarity = toxicity._Index({f"w{chr(97 + i)}": p for i, p in enumerate([0.95, 0.9, 0.8, 0.7, 0.5, 0.4, 0.1, -0.3, -0.4, -0.5, -0.99])})
+    for n in (0, 1, 3, 40):
+        text = " ".join(f"w{rng.choice('abcdefghijklmn')}" for _ in range(n))
+        got = [p for w in toxicity.tokens(text) if (p := polarity[w]) is not None]
+        b = [sum(p > 0.9 for p in got), sum(0.7 < p <= 0.9 for p in got), sum(0.4 < p <= 0.7 for p in got)]
+        assert toxicity.figures(polarity, text) == [float(b[0] > 0), *np.log1p(b).tolist(), sum(p < -0.4 for p in got) / max(1, len(got)), sum(got) / max(1, len(got))]
+    assert toxicity.figures(polarity, None) == [0.0] * 6
+
+
+def test_tables_of_the_graph_go(spark):
+    before = common.written()
+    toxicity.induce(spark.createDataFrame([("calm words here", 0)] * 300 + [("grumpf words here", 1)] * 300, "t string, label int"))
+    assert common.written() == before
