@@ -123,3 +123,43 @@ def test_tables_that_were_used_before_give_the_same(model, monkeypatch):
         t = rng.choice(texts)
         got, want = small.sample([t], 2, [s])[0], P.Pieces.sample(model, [t], 2, [s])[0]
         assert all(np.array_equal(a[0], b[0]) and abs(a[1] - b[1]) < 1e-4 for a, b in zip(got, want)) and len(got) == len(want)
+
+
+def test_stores_are_made_once(monkeypatch):
+    """A store is made for the first words of its width, not again with each call's texts."""
+    made, make = [], P._Store._make
+    monkeypatch.setattr(P._Store, "_make", lambda self: made.append(self.width) or make(self))
+    small = P.Pieces(P._model(P.MODEL))
+    for s in range(4):
+        small.sample(["a few words", "of several widths, internationalisation", "x" * 25], 2, [s, s + 1, s + 2])
+    assert sorted(made) == sorted(small.stores) and len(made) > 2
+
+
+def test_short_pieces_are_found_without_hashes(monkeypatch):
+    """One and two characters come from a table; only those that it doesn't hold are hashed. Both ways find the same."""
+    small, asked = P.Pieces(P._model(P.MODEL)), []
+    lookup = small._lookup
+    monkeypatch.setattr(small, "_lookup", lambda h: asked.append(len(h)) or lookup(h))
+    small.sample(["a b c d e f"], 2, [1])
+    assert not asked
+    chars = [*map(chr, range(0x180)), *"Ж一￿\U0001f511"]
+    for pair in ("", *(x for x in chars if x in "ab \0\xfe\xffĀ一")):
+        texts = [pair + c for c in chars] + [c + pair for c in chars]
+        h = np.array([P.Pieces._hash(t) for t in texts], np.uint64)
+        c = [[min(ord(x) + 1, 256) for x in t] for t in texts]
+        key = np.array([x[0] if len(x) == 1 else 257 + 257 * x[0] + x[1] for x in c])
+        assert np.array_equal(small._short(key, h), lookup(h))
+
+
+def test_tables_hold_the_lattices_mass(model):
+    words = ["a", " the", "\xff\xfe\xfd", " \xfe\xff", "ĀaĀ", "a\0b", " \U0001f511k\xe9y", "日本語", " 一" * 6, " internationalisation", "0f" * 14]
+    group = P._Words(model, [words])
+    for w, place, width in zip(group.words, group.place, group.width):
+        assert group.tables[width][2][place] == pytest.approx(model.lattice(w).mass[-1], abs=1e-4)
+
+
+def test_long_words_of_few_segmentations(model):
+    """Longer than calls can be nested."""
+    for text in ("\U0001f511" * 3000 + "tion", "over" + "\U0001f511" * 20_000 + "ings"):
+        got = model.sample([text], 2, [3])[0]
+        assert len({tuple(x[0].tolist()) for x in got}) == 2 and all(model.decode(x[0].tolist()) == text for x in got)

@@ -68,10 +68,17 @@ class _Lattice:
 
     def every(self) -> list[tuple[tuple[int, ...], float]]:
         """All segmentations with their log probabilities."""
-        def into(j: int) -> list[tuple[tuple[int, ...], float]]:
-            return [((), 0.0)] if j == 0 else [((*s, p), lp + w) for i, p, w in self.edges[j] for s, lp in into(i)]
-
-        return sorted((s, lp - self.mass[-1]) for s, lp in into(len(self.edges) - 1))
+        into: list[list[tuple[tuple, float]]] = [[((), 0.0)]]  # of each place: the last piece before it, linked to those before that
+        for edges in self.edges[1:]:
+            into.append([((before, p), lp + w) for i, p, w in edges for before, lp in into[i]])
+        out = []
+        for link, lp in into[-1]:
+            pieces = []
+            while link:
+                link, p = link
+                pieces.append(p)
+            out.append((tuple(reversed(pieces)), lp - self.mass[-1]))
+        return sorted(out)
 
     def sample(self, draw, but_best: bool) -> tuple[tuple[int, ...], float]:
         """A segmentation by its probability, other than the best if so asked, and its log probability."""
@@ -117,10 +124,23 @@ def _uniform(seed: np.ndarray, step: int) -> np.ndarray:
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
+def _uniform_of(seed: int, step: int) -> float:
+    """_uniform of one seed."""
+    x = seed + (step + 1) * int(_GOLD) & 0xFFFFFFFFFFFFFFFF
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF
+    return ((x ^ x >> 31) >> 11) * 2.0**-53
+
+
 def _gumbel(u: np.ndarray) -> np.ndarray:
     return -np.log(-np.log(np.clip(u, 1e-300, 1 - 1e-16)))
 
 
+def _prefixes(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """So many of the first of each row, one row after the other."""
+    return np.concatenate([row[:m] for row, m in zip(rows, counts.tolist())])
+
+
 class _Store:
     """Tables of the words met so far of one width; emptied when full."""
 
@@ -129,8 +149,8 @@ class _Store:
         self._make()
 
     def _make(self) -> None:
-        shape = (self.width + 1, self.rows, self.most)
-        self.arrays = np.zeros(shape, np.float32), np.zeros(shape, np.int32), np.zeros(self.rows, np.float32), np.zeros(self.rows, np.int64)
+        places, rows, most = self.width + 1, self.rows, self.most
+        self.arrays = np.zeros((places, rows, most), np.float32), np.zeros((most, places, rows), np.int32), np.zeros(rows, np.float32), np.zeros(rows, np.int64)
 
     def places(self, pieces: "Pieces", words: list[str]) -> list[int]:
         new = [w for w in words if w not in self.at]
@@ -144,7 +164,7 @@ class _Store:
             first = len(self.at)
             part = slice(first, first + len(new))
             share, ids, mass, _ = self.arrays
-            mass[part] = pieces._tables(new, self.width, share[:, part], ids[:, part])
+            mass[part] = pieces._tables(new, self.width, share, ids, first)
             self.arrays[3][part] = np.fromiter(map(len, new), np.int64, len(new))
             self.at.update(zip(new, range(first, first + len(new))))
         return list(map(self.at.__getitem__, words))
@@ -164,10 +184,12 @@ class _Words:
             own = np.flatnonzero((size > low) & (size <= width))
             low = width
             if len(own):
-                store = pieces.stores.setdefault(width, _Store(width, min(width, pieces.longest)))
+                store = pieces.stores.get(width)
+                if store is None:
+                    store = pieces.stores[width] = _Store(width, min(width, pieces.longest))
                 self.width[own], self.place[own] = width, store.places(pieces, [self.words[i] for i in own.tolist()])
                 self.tables[width] = store.arrays
-        self.steps = int(max([1, *size[self.width > 0]]))
+        self.steps = int(size[self.width > 0].max(initial=1))
 
 
 class Pieces:
@@ -195,9 +217,7 @@ class Pieces:
                 self.text[i] = p.encode()
                 if not re.search("[^ ] ", p):  # it would go beyond a word
                     self.ids[p] = (i, -alpha * math.log(max(0, i - first) + 10))
-        self.pool = np.frombuffer(b"".join(self.text), np.uint8)  # all pieces' bytes, with each one's number and place
-        self.size = np.array(list(map(len, self.text)), np.int32)
-        self.start = np.cumsum(self.size, dtype=np.int32) - self.size
+        self.bytes = pa.array(self.text, pa.binary())
         if len(self.byte) != 256:
             raise ValueError("the vocabulary has no byte fallback")
         self.longest = max(map(len, self.ids))
@@ -218,6 +238,12 @@ class Pieces:
                 rest = rest[table[slot] != rest]
         if len(rest) or len(set(self.hashes.tolist())) < len(self.hashes):
             raise ValueError("pieces' hashes collide")
+        self.short = np.full(257 + 257 * 257, -1, np.int32)  # number of each piece of one or two characters, all below 255, by these plus one
+        self.short[256], self.short[257:].reshape(257, 257)[256], self.short[257:].reshape(257, 257)[:, 256] = -2, -2, -2
+        for i, p in enumerate(self.ids):
+            if len(p) <= 2 and max(p) < "\xff":
+                c = [ord(x) + 1 for x in p]
+                self.short[c[0] if len(c) == 1 else 257 + c[0] * 257 + c[1]] = i
         self.lattices: dict[str, _Lattice] = {}
 
     def lattice(self, word: str) -> _Lattice:
@@ -256,6 +282,14 @@ class Pieces:
             return pieces
         return [x for p in pieces for x in ([p] if p >= 0 else [self.byte[b] for b in chr(-p - 1).encode("utf-8", "surrogatepass")])]
 
+    def _short(self, key: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """_lookup for one or two characters, by their places in self.short; -2 there stands for what has others in it."""
+        out = self.short.take(key)
+        other = np.flatnonzero(out == -2)
+        if len(other):
+            out[other] = self._lookup(h.take(other))
+        return out
+
     def _lookup(self, h: np.ndarray) -> np.ndarray:
         """Number in self.kept of each hash, -1 if it is no piece's."""
         table, mult = self.slots[0]
@@ -270,48 +304,51 @@ class Pieces:
             other = other[(at >= 0) & ~hit]
         return out
 
-    def _tables(self, words: list[str], width: int, share: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """For words of up to `width` characters, written to share and ids: into each place, by length of the piece, the cumulative chance and the
-        piece (places x words x lengths; what is no piece has no chance, and its id may be anything). Returned: the log of all segmentations' mass of each word."""
-        n, most = len(words), min(width, self.longest)
-        size = np.fromiter(map(len, words), np.int64, len(words))  # longest first, so that the words that reach a place come first
+    def _tables(self, words: list[str], width: int, share: np.ndarray, ids: np.ndarray, first: int) -> np.ndarray:
+        """For words of up to `width` characters, written to share and ids in rows from `first` on: into each place, by length of the piece, the cumulative chance
+        (places x rows x lengths) and the piece (lengths x places x rows; of what is no piece it may be anything). Returned: the log of all segmentations' mass of each word."""
+        n, rows, most = len(words), share.shape[1], min(width, self.longest)
+        size = np.fromiter(map(len, words), np.int64, n)  # longest first, so that the words that reach a place come first
         chars = np.zeros((n, width), np.uint64)
         chars[np.arange(width) < size[:, None]] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32) + np.uint64(1)  # so that no character is zero
         chars = np.ascontiguousarray(chars.T)
-        weight = np.full((width + 1, most, n), -np.inf, np.float32)
+        low = np.minimum(chars, 256).astype(np.int64)
+        weight = np.full((most, width + 1, n), -np.inf, np.float32)
+        flat_weight, flat_ids = weight.reshape(-1), ids.reshape(-1)
         reach = np.searchsorted(-size, -np.arange(width + 2), side="right")  # words of so many characters or more
-        h: list[np.ndarray] = []  # of the piece so far, by its start
+        reached, longest, h = reach.tolist(), 1, chars  # h: of the piece so far, by its start
         for length in range(1, most + 1):
-            last = []
-            for end in range(length, width + 1):
-                m = reach[end]
-                if not m:
-                    break
-                own = chars[end - 1, :m] if length == 1 else h[end - length][:m] * _MULT + chars[end - 1, :m]
-                last.append(own)
-            h = last
-            if not h:
+            if not reached[length]:
                 break
-            found = self._lookup(np.concatenate(h))
-            at = 0
-            for i, own in enumerate(h):
-                f = found[at : at + len(own)]
-                at += len(own)
-                row = np.flatnonzero(f >= 0)
-                hit = f.take(row)
-                ids[i + length, row, length - 1] = self.kept.take(hit)
-                weight[i + length, length - 1, row] = self.kept_weight.take(hit)
-                if length == 1 and len(row) < len(f):  # characters outside the vocabulary: their bytes as one edge, unfolded later
-                    lost = np.flatnonzero(f < 0)
-                    c = own[lost].astype(np.int64) - 1
-                    ids[i + 1, lost, 0] = np.where(c < 128, self.ascii[c & 127], -c - 1)
-                    weight[i + 1, 0, lost] = self.rare * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
+            if length > 1:
+                h = h[:-1] * _MULT
+                h += chars[length - 1 :]
+            counts = reach[length : width + 1]  # words that have a piece of this length, by its start
+            own = _prefixes(h, counts)
+            if length > 2:
+                found = self._lookup(own)
+            else:
+                found = self._short(_prefixes(low if length == 1 else low[:-1] * 257 + low[1:] + 257, counts), own)
+            before = np.cumsum(counts) - counts
+            end = np.arange(length, width + 1)
+            to_weight, to_ids = ((length - 1) * (width + 1) + end) * n - before, ((length - 1) * (width + 1) + end) * rows + first - before
+            start = np.repeat(np.arange(len(counts)), counts)
+            at = np.flatnonzero(found >= 0)
+            if len(at):
+                hit, i, longest = found.take(at), start.take(at), length
+                flat_weight[to_weight.take(i) + at] = self.kept_weight.take(hit)
+                flat_ids[to_ids.take(i) + at] = self.kept.take(hit)
+            if length == 1 and len(at) < len(found):  # characters outside the vocabulary: their bytes as one edge, unfolded later
+                at = np.flatnonzero(found < 0)
+                i, c = start.take(at), own.take(at).astype(np.int64) - 1
+                flat_ids[to_ids.take(i) + at] = np.where(c < 128, self.ascii[c & 127], -c - 1)
+                flat_weight[to_weight.take(i) + at] = self.rare * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
         mass = np.zeros((width + 1, n), np.float32)
         for j in range(1, width + 1):
-            r, m = reach[j], min(j, most)
+            r, m = reached[j], min(j, longest)  # no piece is longer
             if not r:
                 break
-            v = mass[j - m : j, :r][::-1] + weight[j, :m, :r]
+            v = mass[j - m : j, :r][::-1] + weight[:m, j, :r]
             top = v.max(axis=0)
             v -= top
             np.exp(v, out=v)
@@ -319,34 +356,36 @@ class Pieces:
                 v[i] += v[i - 1]
             mass[j, :r] = top + np.log(v[-1])
             v /= v[-1].copy()
-            share[j, :r, :m], share[j, :r, m:] = v.T, 2.0
+            own = share[j, first : first + r]
+            own[:, :m], own[:, m:] = v.T, 2.0
         return mass[size, np.arange(n)]
 
     def _draw(self, group: "_Words", tokens: np.ndarray, seeds: np.ndarray, out: np.ndarray, count: np.ndarray, logp: np.ndarray) -> None:
         """Segment each of the tokens by its word's lattice, last piece first into out, with its number of pieces and log probability."""
-        wide = group.width[group.word[tokens]]
+        word = group.word.take(tokens)
+        wide = group.width.take(word)
         for width, (share, ids, mass, size) in group.tables.items():
-            t = tokens[wide == width]
-            w = group.place[group.word[t]]
+            own = np.flatnonzero(wide == width)
+            t, w = tokens.take(own), group.place.take(word.take(own))
             rows, most = share.shape[1:]
             share, ids = share.reshape(-1, most), ids.reshape(-1)
-            j, step, seed, total, n = size[w], 0, seeds[t], -mass[w].astype(np.float64), np.zeros(len(t), np.int64)
-            at, row = np.arange(len(t)), w
-            while len(at):
+            j, step, seed, total, row = size.take(w), 0, seeds.take(t), -mass.take(w).astype(np.float64), w
+            while len(t):
                 here = row + j * rows
                 passed = share.take(here, axis=0) <= np.minimum(_uniform(seed, step), 0.9999999)[:, None].astype(np.float32)
                 k = np.minimum(np.einsum("ij->i", passed.view(np.uint8)).astype(np.int64), np.minimum(j, most) - 1)
-                pick = here * most + k
-                piece = ids.take(pick)
-                out[step, t.take(at)] = piece
-                total[at] += self.by_id.take(np.maximum(piece, -0x10001), mode="wrap")
-                n[at] += 1
-                j = j - k - 1
+                piece = ids.take(k * (rows * (width + 1)) + here)
+                out[step][t] = piece
+                total += self.by_id.take(np.maximum(piece, -0x10001), mode="wrap")
+                j -= k
+                j -= 1
                 step += 1
-                go = np.flatnonzero(j > 0)
-                if len(go) < len(at):
-                    at, row, j, seed = (x.take(go) for x in (at, row, j, seed))
-            logp[t], count[t] = total, n
+                ended = j <= 0
+                done = np.flatnonzero(ended)
+                if len(done):  # what goes on is kept together
+                    own, go = t.take(done), np.flatnonzero(~ended)
+                    logp[own], count[own] = total.take(done), step
+                    t, row, j, seed, total = (x.take(go) for x in (t, row, j, seed, total))
         for i in tokens[wide == 0].tolist():  # words too long for the tables
             rng = np.random.Generator(np.random.SFC64(int(seeds[i])))
             seg, lp = self.lattice(group.words[group.word[i]]).sample(rng.random, False)
@@ -435,7 +474,7 @@ class Pieces:
         if lattice.paths <= 64:
             segs = [s for s in lattice.every() if s[0] not in barred]
             p = np.exp([lp for _, lp in segs])
-            return segs[min(int((np.cumsum(p) / p.sum() <= _uniform(np.array([seed], np.uint64), 1 << 22)[0]).sum()), len(segs) - 1)]
+            return segs[min(int((np.cumsum(p) / p.sum() <= _uniform_of(seed, 1 << 22)).sum()), len(segs) - 1)]
         rng = np.random.Generator(np.random.SFC64(seed))
         while True:
             seg, lp = lattice.sample(rng.random, lattice.viterbi() in barred)
@@ -450,9 +489,12 @@ class Pieces:
         most = int(short.max(initial=1))
         ends = np.concatenate([[0], np.cumsum(short)])
         ids, left = np.empty(ends[-1], np.int32), np.flatnonzero(short)
+        last, more = ends.take(left + 1), short.take(left)
         for step in range(most):  # the last piece was drawn first
-            ids[ends[left + 1] - 1 - step] = out[step, left]
-            left = left[short[left] > step + 1]
+            last -= 1
+            ids[last] = out[step].take(left)
+            go = np.flatnonzero(more > step + 1)
+            left, last, more = left.take(go), last.take(go), more.take(go)
         flat = [ids[ends[a] : ends[b]] for a, b in zip(first[:-1], first[1:])]
         for d in sorted({int(np.searchsorted(first, i, side="right")) - 1 for i in long}):
             flat[d] = np.array([x for t in range(first[d], first[d + 1]) for x in (long[t] if t in long else ids[ends[t] : ends[t + 1]].tolist())], np.int32)
@@ -466,10 +508,7 @@ class Pieces:
         """Whether decode(ids) is the text: all bytes are decoded and compared, some pieces at a time."""
         want, at = (" " + text).encode("utf-8", "surrogatepass"), 0
         for s in range(0, len(ids), 1 << 16):
-            part = ids[s : s + (1 << 16)]
-            n = self.size[part]
-            place = np.repeat(self.start[part] - (np.cumsum(n, dtype=np.int32) - n), n)
-            got = self.pool[place + np.arange(len(place), dtype=np.int32)].tobytes()
+            got = self.bytes.take(pa.array(ids[s : s + (1 << 16)])).buffers()[2].to_pybytes()
             if want[at : at + len(got)] != got:
                 return False
             at += len(got)
