@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumine.functions.vectors import cosine, dot
+from vellumine.operators.nearest import nearest, regular
 
 #: Question rows that may be sent to every task.
 QUERY_ROWS = 10_000
@@ -30,16 +31,22 @@ def top_k(scored: DataFrame, k: int, by: str = "query_id", score: str = "score",
     return scored.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def dense(queries: DataFrame, points: DataFrame, k: int = 10, condition: Column | None = None, normalised: bool = False, allowed: Column | None = None) -> DataFrame:
+def dense(queries: DataFrame, points: DataFrame, k: int = 10, condition: Column | None = None, normalised: bool = False, allowed: Column | None = None, decimals: int | None = None, whole: bool = False) -> DataFrame:
     """(query_id, chunk_id, score, rank): the nearest points by cosine that meet the condition.
 
-    Questions are held against all points in blocks of a stated size: a block goes to every task, points don't move, and each
-    task keeps its own k best of a question before the shuffle. `allowed` is a condition on pairs, over the questions' columns
-    as q.* and the points' as p.*; it holds before the k best are taken.
+    Questions are held against all points by products of matrices, see nearest(). `decimals` rounds scores before they are ranked;
+    `whole` vouches that all vectors are regular(), which is otherwise looked at. `allowed` is a condition on pairs, over the
+    questions' columns as q.* and the points' as p.*; it holds before the k best are taken. With it, and for vectors of several lengths
+    or with nulls, pairs are joined: a block of questions of a stated size goes to every task, points don't move, and each task
+    keeps its own k best of a question before the shuffle.
     """
-    pts = (points if condition is None else points.where(condition)).alias("p")
+    kept = points if condition is None else points.where(condition)
+    if allowed is None and (whole or regular(queries, kept)):
+        return top_k(nearest(queries, kept, k, normalised, decimals), k)
+    pts = kept.alias("p")
     measure = dot if normalised else cosine
-    score = measure(F.col("q.vector"), F.col("p.vector")).alias("score")
+    score = measure(F.col("q.vector"), F.col("p.vector"))
+    score = (score if decimals is None else F.round(score, decimals)).alias("score")
 
     def near(block: DataFrame) -> DataFrame:
         pairs = pts.join(F.broadcast(block).alias("q"), F.lit(True) if allowed is None else allowed)
