@@ -6,26 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumine.functions.text import clip_text, strip_ws
-from vellumine.operators.tree import hierarchy_paths
+from vellumine.functions.sizes import small
+from vellumine.operators.tree import KEYED, with_paths
 
-#: Types whose nodes are compared.
-KEYED = ["paragraph", "list_item", "table", "code_block", "heading", "document"]
 
-
-def canonical(nodes: DataFrame) -> DataFrame:
-    """(tree_id, key, hash, fields): nodes of keyed types by `path|type#ordinal`, the last of equal keys.
+def canonical(nodes: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(tree_id, key, hash, fields, and columns to keep): nodes of keyed types by `path|type#ordinal`, the last of equal keys.
 
     The ordinal counts a parent's children of the type from 0 in order of insertion; fields is a map of text, Markdown and
-    metadata (a map<string,string> column where there is one).
+    metadata (a map<string,string> column where there is one). What the parser found of whole trees is taken from it.
     """
+    parsed = {"tree_path", "ordinal", "key_last"} <= set(nodes.columns)
     place = Window.partitionBy("tree_id", "parent_id", "type").orderBy("node_seq")
-    k = nodes.withColumn("__ord", F.row_number().over(place) - 1).join(hierarchy_paths(nodes), ["tree_id", "node_id"])
+    k = with_paths(nodes.withColumn("__ord", F.col("ordinal") if parsed else F.row_number().over(place) - 1))
     k = k.where(F.col("type").isin(KEYED)).withColumn("key", F.concat("hierarchy_path", F.lit("|"), "type", F.lit("#"), F.col("__ord").cast("string")))
     last = Window.partitionBy("tree_id", "key").orderBy(F.desc("node_seq"))
-    k = k.withColumn("__n", F.row_number().over(last)).where("__n = 1")
+    k = k.where("key_last") if parsed else k.withColumn("__n", F.row_number().over(last)).where("__n = 1")
     own = F.create_map(F.lit("text"), F.col("text"), F.lit("markdown"), F.col("markdown"))
     fields = F.map_concat(own, F.map_filter("metadata", lambda name, _: ~name.isin("text", "markdown"))) if "metadata" in nodes.columns else own
-    return k.select("tree_id", "key", F.col("content_hash").alias("hash"), fields.alias("fields"))
+    return k.select("tree_id", "key", F.col("content_hash").alias("hash"), fields.alias("fields"), *(keep or []))
 
 
 def field_changes(old: Column, new: Column) -> Column:
@@ -61,6 +60,7 @@ def missing_versions(sources: DataFrame, present: DataFrame) -> DataFrame:
 def diff_all(canonical_nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """All pairs in one job: canonical_nodes (source_id, version_tag, key, hash, fields), pairs of version_pairs()."""
     on = ["source_id", "version_from", "version_to"]
+    pairs = small(pairs)
     side = lambda tag: pairs.join(canonical_nodes.withColumnRenamed("version_tag", tag), ["source_id", tag]).select(*on, "key", "hash", "fields")
     return version_diff(side("version_from"), side("version_to"), on)
 
